@@ -66,7 +66,7 @@ def branches(messages: DataFrame, keep: int = 1) -> DataFrame:
     leaves = now.where("up is null").join(replied, ["tree", "id"], "left_anti").withColumn("place", F.row_number().over(best)).where(F.col("place") <= keep)
     path = leaves.select("tree", F.col("id").alias("branch"), F.col("id").alias("at"))
     for jump in jumps:  # after each join a path has twice as many of its last messages
-        path = path.unionByName(path.join(jump, ["tree", "at"]).select("tree", "branch", F.col("up").alias("at")))
+        path = durable(path.unionByName(path.join(jump, ["tree", "at"]).select("tree", "branch", F.col("up").alias("at"))))
     depth = now.select("tree", F.col("id").alias("at"), "depth")
     return path.join(depth, ["tree", "at"]).select("tree", "branch", F.col("at").alias("id"), "depth")
 

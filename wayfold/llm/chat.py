@@ -59,8 +59,9 @@ def branches(messages: DataFrame, keep: int = 1) -> DataFrame:
         open_before = left
         jumps.append(now.where("up is not null").select("tree", F.col("id").alias("at"), "up"))
         above = now.select("tree", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("depth").alias("depth2"), F.col("root").alias("root2"))
-        now = now.join(above, ["tree", "up"], "left").select("tree", "id", F.col("up2").alias("up"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), F.coalesce("root2", "root").alias("root"))
-        now = durable(now)
+        closed = now.where("up is null")  # short branches are done early
+        now = now.where("up is not null").join(above, ["tree", "up"]).select("tree", "id", F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"), (F.col("depth") + F.col("depth2")).alias("depth"), F.col("root2").alias("root"))
+        now = durable(closed.unionByName(now))
     replied = m.where("parent is not null").select("tree", F.col("parent").alias("id")).distinct()
     best = Window.partitionBy("tree", "root").orderBy(F.desc("total"), "id")
     leaves = now.where("up is null").join(replied, ["tree", "id"], "left_anti").withColumn("place", F.row_number().over(best)).where(F.col("place") <= keep)

@@ -25,6 +25,9 @@ from .common import read
 MEMO = 150_000
 #: Symbols a window takes in between two emissions.
 STEP = 256
+ID_BITS = 24
+ID_MASK = (1 << ID_BITS) - 1
+NONE = 1 << 62
 _BLANKS = re.compile("[ \t\n\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _PY_ONLY = re.compile("[\x1c-\x1f]")
 
@@ -57,9 +60,10 @@ class Merges:
         return out
 
     @cached_property
-    def ranks(self) -> dict[tuple[int, int], tuple[int, int]]:
+    def ranks(self) -> dict[tuple[int, int], int]:
+        """For each pair of ids its rule: the rank above, the joined token's id in the ID_BITS below."""
         v = self.vocab
-        return {(v[a], v[b]): (r, v[a + b]) for r, (a, b) in enumerate(self.rules)}
+        return {(v[a], v[b]): r << ID_BITS | v[a + b] for r, (a, b) in enumerate(self.rules)}
 
     @cached_property
     def lookahead(self) -> int:
@@ -87,26 +91,20 @@ class Merges:
 
 
 def merge(ids: list[int], ranks: dict) -> list[int]:
-    """Apply the rules by rank, each from the left, until none fits."""
+    """Apply the rule of lowest rank at its first place until none fits; only the two pairs beside it change."""
     get = ranks.get
-    while len(ids) > 1:
-        best = None
-        for pair in zip(ids, ids[1:]):
-            r = get(pair)
-            if r is not None and (best is None or r < best):
-                best, at = r, pair
-        if best is None:
+    pairs = [get(p, NONE) for p in zip(ids, ids[1:])]
+    while pairs:
+        best = min(pairs)
+        if best == NONE:
             break
-        a, b = at
-        new, out, i, n = best[1], [], 0, len(ids)
-        while i < n:
-            if ids[i] == a and i + 1 < n and ids[i + 1] == b:
-                out.append(new)
-                i += 2
-            else:
-                out.append(ids[i])
-                i += 1
-        ids = out
+        i = pairs.index(best)
+        ids[i] = new = best & ID_MASK
+        del ids[i + 1], pairs[i]
+        if i < len(pairs):
+            pairs[i] = get((new, ids[i + 1]), NONE)
+        if i:
+            pairs[i - 1] = get((ids[i - 1], new), NONE)
     return ids
 
 
@@ -120,11 +118,12 @@ class Encoder:
         self.inner = [merges.vocab[s] for s in symbols]
         self.last = [merges.vocab[s + merges.end] for s in symbols]
         self.lengths = [1] * len(merges.tokens)
-        for (a, b), (_, new) in self.ranks.items():
-            self.lengths[new] = self.lengths[a] + self.lengths[b]
+        for (a, b), rule in self.ranks.items():
+            self.lengths[rule & ID_MASK] = self.lengths[a] + self.lengths[b]
         self.words = regex.compile(merges.pattern)
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(merges.special, key=len, reverse=True))) + ")") if merges.special else None
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.words_seen: dict[str, tuple[int, ...]] = {}
         self.window: list[int] = []
         self.held: int | None = None
 
@@ -139,7 +138,7 @@ class Encoder:
             self.window += map(self.inner.__getitem__, part[:-1])
             if len(self.window) > self.look + self.step:
                 stable, end = len(self.window) - self.look, 0
-                for t in merge(self.window, self.ranks):
+                for t in merge(self.window[:], self.ranks):
                     if end + self.lengths[t] > stable:
                         break
                     end += self.lengths[t]
@@ -155,7 +154,22 @@ class Encoder:
         self.window, self.held = [], None
         return out
 
+    def _word(self, word: str) -> tuple[int, ...] | list[int]:
+        """Tokens of one word of the pattern."""
+        ids = self.words_seen.get(word)
+        if ids is None:
+            raw = word.encode("utf-8", "replace")
+            if len(raw) > self.step:
+                return self.feed(raw) + self.finish()
+            ids = tuple(merge([*map(self.inner.__getitem__, raw[:-1]), self.last[raw[-1]]], self.ranks))
+            if len(self.words_seen) >= self.memo_size:
+                self.words_seen.clear()
+            self.words_seen[word] = ids
+        return ids
+
     def _piece(self, piece: str) -> tuple[int, ...]:
+        if piece.isalpha() and piece.isascii():  # one word as it is
+            return self._word(piece.lower())
         out: list[int] = []
         for part in self.specials.split(piece) if self.specials and "<" in piece else (piece,):
             if part in self.m.special:
@@ -163,14 +177,15 @@ class Encoder:
                 continue
             if not part.isascii() and not unicodedata.is_normalized("NFC", part):
                 part = unicodedata.normalize("NFC", part)
-            for word in self.words.findall(part.replace("Σ", "σ").lower()):
-                raw = word.encode("utf-8", "replace")
-                if len(raw) > self.step:
-                    out += self.feed(raw)
-                    out += self.finish()
-                else:
-                    ids = [*map(self.inner.__getitem__, raw[:-1]), self.last[raw[-1]]]
-                    out += merge(ids, self.ranks)
+            part = part.replace("Σ", "σ").lower()
+            if part.isalpha():
+                out += self._word(part)
+            elif part[:-1].isalpha() and part[-1] in ".,!":
+                out += self._word(part[:-1])
+                out += self._word(part[-1])
+            else:
+                for word in self.words.findall(part):
+                    out += self._word(word)
         return tuple(out)
 
     def stream(self, text: str):

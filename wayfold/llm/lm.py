@@ -22,7 +22,7 @@ from .ngram_trie import Trie
 
 MU = 400.0
 #: Text bytes a shard stands for; words dealt over several shards at most.
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 12 << 20
 HOT_WORDS = 4096
 SLICE = 2 << 20
 

@@ -65,3 +65,39 @@ def midpoint(points: Column) -> Column:
     last = F.element_at(points, -1)
     mix = lambda k: F.coalesce(a[k] + (b[k] - a[k]) * s["rest"], last[k])
     return F.struct(mix("x").alias("x"), mix("z").alias("z"))
+
+
+def arrow(points: Column) -> Column:
+    """struct(x, y, z, ux, uy, uz): the point half way along a line in space and the direction there; null for lines
+    without length."""
+    steps = _pairs(points, lambda a, b: F.sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) + (b.z - a.z) * (b.z - a.z)))
+    half = _total(steps) / 2
+    start = F.struct(F.lit(0.0).alias("done"), F.lit(1).alias("i"), F.lit(None).cast("int").alias("at"), F.lit(0.0).alias("rest"), F.lit(1.0).alias("long"))
+
+    def walk(s, d):
+        hit = s["at"].isNull() & (d > 0) & (s["done"] + d >= half)
+        keep = lambda new, old: F.when(hit, new).otherwise(s[old]).alias(old)
+        return F.struct((s["done"] + d).alias("done"), (s["i"] + 1).alias("i"), keep(s["i"], "at"), keep((half - s["done"]) / F.nullif(d, F.lit(0.0)), "rest"), keep(d, "long"))
+
+    s = F.aggregate(steps, start, walk)
+    a, b = F.try_element_at(points, s["at"]), F.try_element_at(points, s["at"] + 1)
+    at = [(a[k] + (b[k] - a[k]) * s["rest"]).alias(k) for k in "xyz"]
+    return F.when(s["at"].isNotNull(), F.struct(*at, *[((b[k] - a[k]) / s["long"]).alias(f"u{k}") for k in "xyz"]))
+
+
+def joined(lines: Column) -> Column:
+    """One line of successive lines that meet: each but the first without its first point."""
+    return F.flatten(F.transform(lines, lambda g, i: F.when(i == 0, g).otherwise(F.slice(g, 2, F.greatest(F.size(g) - 1, F.lit(0))))))
+
+
+def envelope(ring: Column, height: float) -> Column:
+    """Segments (struct a, b) of the walls over a ring, closed or open: each side's top and one edge a corner. Rings of
+    under three corners have none."""
+    first, last = F.element_at(ring, 1), F.element_at(ring, -1)
+    closed = (F.size(ring) > 2) & (first.x == last.x) & (first.z == last.z)
+    p = F.when(closed, F.slice(ring, 1, F.size(ring) - 1)).otherwise(ring)
+    up = lambda q: F.struct(q.x.alias("x"), (q.y + height).alias("y"), q.z.alias("z"))
+    line = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    turned = F.concat(F.slice(p, 2, F.size(p) - 1), F.slice(p, 1, 1))
+    sides = F.zip_with(p, turned, lambda a, b: F.array(line(up(a), up(b)), line(F.struct(a.x.alias("x"), a.y.alias("y"), a.z.alias("z")), up(a))))
+    return F.when(F.size(p) >= 3, F.flatten(sides))

@@ -86,6 +86,14 @@ def signed_turn(before: Column, after: Column) -> Column:
     return F.when(t == -180, F.lit(180.0)).otherwise(t)
 
 
+def turn_between(ax: Column, az: Column, bx: Column, bz: Column) -> Column:
+    """Degrees in (-180, 180] from direction a to direction b, right positive; a null vector points east."""
+    still = lambda x, z: (x == 0) & (z == 0)
+    ax, bx = F.when(still(ax, az), F.lit(1.0)).otherwise(ax), F.when(still(bx, bz), F.lit(1.0)).otherwise(bx)
+    t = F.degrees(F.atan2(ax * bz - az * bx, ax * bx + az * bz))
+    return F.when(t == -180, F.lit(180.0)).otherwise(t)
+
+
 @F.pandas_udf(StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t), na_action="ignore")
@@ -107,5 +115,25 @@ def journey_minutes(seconds: Column) -> Column:
     return F.when(seconds == 0, F.lit(0)).otherwise(F.greatest(F.lit(1), F.ceil(seconds / 60)))
 
 
+def space_category(name: Column) -> Column:
+    """The place category that a space's name tells, or null."""
+    return F.when(name.contains("トイレ"), "toilet").when(name.rlike(r"(?i)^(EV[_-]|エレベーター)"), "elevator").when(name.rlike(r"(?i)^(ESC[_-]|エスカレーター)"), "escalator")
+
+
+def category_code(raw: Column) -> Column:
+    return F.upper(F.trim(F.coalesce(raw.cast("string"), F.lit(""))))
+
+
+def stacked_elevation(y: Column, gap: float = 30.0) -> Column:
+    """Display height of floors drawn apart."""
+    return y * (gap / FLOOR_HEIGHT_M)
+
+
+def route_url(start: Column, destination: Column, profile: Column) -> Column:
+    """The query part of a route's address; the shortest profile is the default and left out."""
+    part = lambda name, v: F.concat(F.lit(f"{name}="), F.url_encode(v))
+    return F.concat_ws("&", part("from", start), part("to", destination), F.when(profile != "shortest", part("profile", profile)))
+
+
 def url_parameter(url: Column, name: str) -> Column:
     return F.try_parse_url(url, F.lit("QUERY"), F.lit(name))

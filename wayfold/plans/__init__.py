@@ -1 +1,2 @@
 
+from . import registry, guidance  # noqa: F401  each module registers its queries

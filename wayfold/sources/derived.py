@@ -40,8 +40,32 @@ select o_orderkey as request_id, concat('customer:',o_custkey) as start_id,
        concat('customer:',(o_custkey*7+13) % (select count(*) from {customer})) as destination_id,
        case o_orderpriority when '1-URGENT' then 'shortest' when '2-HIGH' then 'accessible' when '3-MEDIUM' then 'avoid-stairs'
             when '4-NOT SPECIFIED' then 'prefer-elevator' else 'fewest-floor-changes' end as profile from {orders}""",
+    # An order's lines as a walk from part to part, in line order; the floor changes after each third line.
+    "walks": f"""
+select request_id, pos, concat(request_id, '-', pos, case when s % 2 = 0 then ':reverse' else '' end) as id, concat('P', a) as from_id, concat('P', b) as to_id,
+       case when f <> g then case s % 3 when 0 then 'stairs' when 1 then 'elevator' else 'escalator' end when s % 5 = 0 then 'ramp' else 'corridor' end as kind,
+       {_floor("f")} as floor_from, {_floor("g")} as floor_to, q*1.25e0 as distance_m,
+       case when t = 0 then 'width' when s % 4 = 0 then 'vertical-slope' end as unknown,
+       (a % 50)*5.0e0 as x0, {_elev("f")} as y0, floor(a/50.0e0)*5.0e0 as z0, (b % 50)*5.0e0 as x1, {_elev("g")} as y1, floor(b/50.0e0)*5.0e0 as z1
+from (select request_id, pos, a, s, q, t, request_id + case when pos >= 6 then 2 when pos >= 3 then 1 else 0 end as f,
+             request_id + case when lead(pos) over (partition by request_id order by pos) >= 6 then 2 when lead(pos) over (partition by request_id order by pos) >= 3 then 1 else 0 end as g,
+             lead(a) over (partition by request_id order by pos) as b
+      from (select l_orderkey as request_id, l_linenumber as pos, min(l_partkey) as a, min(l_suppkey) as s, min(l_quantity) as q, min(l_tax) as t from {{lineitem}} group by l_orderkey, l_linenumber) as lines) as steps
+where b is not null""",
+    # Both ends of each order's walk: floors and the way between place and network.
+    "ends": f"""
+select o_orderkey as request_id, {_floor("o_orderkey")} as start_floor, (o_custkey % 4)*2.5e0 as start_m, {_floor("o_custkey")} as destination_floor, (o_custkey % 7)*1.5e0 as destination_m,
+       case o_orderpriority when '2-HIGH' then 'accessible' else 'shortest' end as profile from {{orders}}""",
+    # One feature a part: points of facilities, and L-shaped polygons of 2w a side around the others.
+    "features": f"""
+select concat('f', p_partkey) as id, p_partkey as source_record, p_brand as area,
+       case p_partkey % 4 when 0 then 'Space' when 1 then 'Fixture' when 2 then 'Floor' else 'Facility' end as layer,
+       case when p_partkey % 61 = 0 then null else {_floor("p_size")} end as floor_id,
+       case when p_partkey % 53 = 0 then '' when p_partkey % 4 = 3 then concat(' f', lpad(cast(p_size as string), 3, '0')) else concat('B', lpad(cast(p_size as string), 3, '0')) end as category,
+       case p_partkey % 7 when 0 then '' when 1 then 'EV3' when 2 then '不明' when 3 then cast(p_partkey as string) when 4 then null else p_name end as name,
+       (p_partkey % 97)*2.5e0 as x, {_elev("p_size")} as y, floor(p_partkey/97.0e0)*2.5e0 as z, 3.0e0 + p_partkey % 7 as w from {{part}}""",
 }
-_INPUTS = {"nodes": ("part", "supplier", "nation"), "edges": ("lineitem",), "places": ("customer",), "requests": ("orders", "customer")}
+_INPUTS = {"nodes": ("part", "supplier", "nation"), "edges": ("lineitem",), "places": ("customer",), "requests": ("orders", "customer"), "walks": ("lineitem",), "ends": ("orders",), "features": ("part",)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

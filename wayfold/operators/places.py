@@ -50,3 +50,20 @@ def search(terms: DataFrame, queries: DataFrame) -> DataFrame:
     short = tails.join(q.where((F.length("query") < 3) & (F.length("query") > 0)), F.col("part") == F.col("start"))
     hits = long_.unionByName(short).where(F.contains("term", "query"))
     return hits.select("query", "id").distinct()
+
+
+def first_by_name(places: DataFrame, name: str = "name", order: str = "ordinal") -> DataFrame:
+    """name, id: the first place of each display name."""
+    return places.groupBy(F.col(name).alias("name")).agg(F.min_by("id", F.struct(order, "id")).alias("id"))
+
+
+def groups(places: DataFrame) -> DataFrame:
+    """floor_id, area, category, n, first_name, ordered by floor height, area and category."""
+    g = places.groupBy("floor_id", "area", "category").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("first_name"))
+    return g.orderBy(scalars.floor_elevation(F.col("floor_id")), "area", "category")
+
+
+def statistics(places: DataFrame) -> DataFrame:
+    """One row: places, unique_names, and the count of each confidence."""
+    level = [F.count(F.when(F.col("confidence") == c, 1)).alias(c) for c in ("high", "medium", "low")]
+    return places.agg(F.count(F.lit(1)).alias("places"), F.count_distinct("name").alias("unique_names"), *level)

@@ -49,3 +49,15 @@ def near_pairs(points: DataFrame, tolerance: float) -> DataFrame:
 
 def bounds(points: DataFrame, *keys: str) -> DataFrame:
     return points.groupBy(*keys).agg(*[f(c).alias(f"{n}_{c}") for c in "xyz" for f, n in ((F.min, "min"), (F.max, "max"))])
+
+
+def nearest_within(points: DataFrame, places: DataFrame, tolerance: float = 15.0) -> DataFrame:
+    """id, place_id, distance_m of the nearest place in the plane, on any floor, within a distance (ties: smaller id);
+    points without one give no row."""
+    around = F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))
+    asks = points.select("id", "x", "z").withColumn("dx", around).withColumn("dz", around)
+    asks = asks.withColumn("cx", _cell("x", tolerance) + F.col("dx")).withColumn("cz", _cell("z", tolerance) + F.col("dz"))
+    there = places.select(F.col("id").alias("place_id"), F.col("x").alias("px"), F.col("z").alias("pz"), _cell("x", tolerance).alias("cx"), _cell("z", tolerance).alias("cz"))
+    d = asks.join(there, ["cx", "cz"]).withColumn("d", F.sqrt((F.col("x") - F.col("px")) ** 2 + (F.col("z") - F.col("pz")) ** 2)).where(F.col("d") <= tolerance)
+    best = F.min(F.struct("d", "place_id")).alias("b")
+    return d.groupBy("id").agg(best).select("id", F.col("b.place_id").alias("place_id"), F.col("b.d").alias("distance_m"))

@@ -1,2 +1,2 @@
 
-from . import registry, guidance  # noqa: F401  each module registers its queries
+from . import guidance, maps, registry  # noqa: F401  each module registers its queries

@@ -17,13 +17,16 @@ from pyspark.sql import functions as F
 
 from .common import bounded_sample, durable, read
 
-#: Training sample, vectors a cell aims at, cells at most; bytes a vector's code has.
+#: Training sample, vectors a cell aims at, cells at least (of big enough tables) and at most; bytes a vector's code has.
 SAMPLE = 16_384
-CELL_TARGET = 100
+CELL_TARGET = 1000
+MIN_CELLS = 64
 MAX_CELLS = 4096
 SUBSPACES = 16
-#: Cells a query visits; candidates per visited block that are scored exactly.
-PROBES = 40
+#: Share of the sample's true neighbours that the visited cells hold, sample queries it is measured with, and
+#: candidates per visited block that are scored exactly.
+COVER = 0.98
+COVER_QUERIES = 400
 RERANK = 60
 #: Vectors and queries that one task step holds together; hot cells are dealt over several steps.
 BLOCK = 2048
@@ -72,6 +75,20 @@ class Quantiser:
     def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
         return np.concatenate([(x[i : i + 4096] @ c.T * 2 - (c * c).sum(1)).argmax(1) for i in range(0, len(x), 4096)] or [np.zeros(0, np.int64)])
 
+    def probes_for(self, x: np.ndarray, k: int, cover: float, seed: int = 11) -> int:
+        """Cells to visit, best first, so that ``cover`` of the k nearest sample vectors of sample queries are met. A
+        whole table's neighbours are nearer than a sample's, so that it meets as many at least."""
+        q = np.random.default_rng(seed).choice(len(x), min(COVER_QUERIES, len(x)), replace=False)
+        k = min(k, len(x) - 1)
+        if k < 1:
+            return len(self.coarse)
+        score = x[q] @ x.T
+        score[np.arange(len(q)), q] = -np.inf
+        near = np.argpartition(-score, k - 1, axis=1)[:, :k]
+        place = np.argsort(np.argsort(-(x[q] @ self.coarse.T), axis=1, kind="stable"), axis=1)
+        met = place[np.arange(len(q))[:, None], self._nearest(x, self.coarse)[near]]
+        return int(np.quantile(met, cover, method="higher")) + 1
+
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cell = self._nearest(x, self.coarse)
         rest = np.pad(x - self.coarse[cell], ((0, 0), (0, self.padded - x.shape[1])))
@@ -98,9 +115,10 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def search(df: DataFrame, queries, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", probes: int = PROBES, rerank: int = RERANK) -> DataFrame:
+def search(df: DataFrame, queries, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", probes: int | None = None, rerank: int = RERANK) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of every row but the query's own, for each row that ``queries`` (a
-    condition on vec_id) selects. All rows are indexed; the index is trained on a bounded hashed sample."""
+    condition on vec_id) selects. All rows are indexed; the index is trained on a bounded hashed sample, and so is the
+    number of cells a query visits unless ``probes`` gives it: few where vectors cluster, most where they don't."""
     spark = df.sparkSession
     d = usable(df, vec_id, embedding)
     total = d.count()
@@ -111,9 +129,10 @@ def search(df: DataFrame, queries, k: int = 20, vec_id: str = "vec_id", embeddin
     if sample.empty:
         sample = d.orderBy("vec_id").limit(SAMPLE).toPandas()
     x = np.stack(sample.v.to_numpy()).astype(np.float32)
-    cells = int(min(MAX_CELLS, max(4, total // CELL_TARGET)))
-    model = spark.sparkContext.broadcast(Quantiser.train(x, cells))
-    probes = min(probes, cells)
+    cells = int(min(MAX_CELLS, max(total // CELL_TARGET, min(MIN_CELLS, max(4, total // 4)))))
+    quantiser = Quantiser.train(x, cells)
+    probes = min(cells, probes or quantiser.probes_for(x, k, COVER))
+    model = spark.sparkContext.broadcast(quantiser)
 
     def index(batches):
         for b in batches:

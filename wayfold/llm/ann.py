@@ -24,10 +24,11 @@ MIN_CELLS = 64
 MAX_CELLS = 4096
 SUBSPACES = 16
 #: Share of the sample's true neighbours that the visited cells hold, sample queries it is measured with, and
-#: candidates per visited block that are scored exactly.
+#: candidates per visited block that are scored exactly, beside those within MARGIN quantisation errors of the k-th.
 COVER = 0.98
 COVER_QUERIES = 400
 RERANK = 60
+MARGIN = 3.0
 #: Vectors and queries that one task step holds together; hot cells are dealt over several steps.
 BLOCK = 2048
 QUERY_BLOCK = 512
@@ -96,6 +97,13 @@ class Quantiser:
         codes = [self._nearest(rest[:, i * width : (i + 1) * width], b) for i, b in enumerate(self.books)]
         return cell, np.stack(codes, 1).astype(np.uint8)
 
+    def error(self, x: np.ndarray, seed: int = 13) -> float:
+        """Standard deviation of approximate from exact scores between sample vectors."""
+        cell, code = self.encode(x)
+        rest = np.concatenate([b[code[:, i]] for i, b in enumerate(self.books)], 1)[:, : x.shape[1]]
+        q = x[np.random.default_rng(seed).choice(len(x), min(COVER_QUERIES, len(x)), replace=False)]
+        return float(np.std(q @ (x - self.coarse[cell] - rest).T))
+
     def tables(self, q: np.ndarray) -> np.ndarray:
         """Asymmetric tables: queries x subspaces x 256 inner products of a query's part with each centroid."""
         q = np.pad(q, ((0, 0), (0, self.padded - q.shape[1]))).reshape(len(q), self.books.shape[0], -1)
@@ -132,6 +140,7 @@ def search(df: DataFrame, queries, k: int = 20, vec_id: str = "vec_id", embeddin
     cells = int(min(MAX_CELLS, max(total // CELL_TARGET, min(MIN_CELLS, max(4, total // 4)))))
     quantiser = Quantiser.train(x, cells)
     probes = min(cells, probes or quantiser.probes_for(x, k, COVER))
+    margin = MARGIN * quantiser.error(x)
     model = spark.sparkContext.broadcast(quantiser)
 
     def index(batches):
@@ -163,7 +172,11 @@ def search(df: DataFrame, queries, k: int = 20, vec_id: str = "vec_id", embeddin
                 near = sum(table[i, j][code[:, j]] for j in range(code.shape[1]))
                 own = ids == qid[i]
                 near = np.where(own, -np.inf, near)
-                take = np.flatnonzero(~own) if len(ids) <= rerank else np.flatnonzero((near >= np.partition(near, -rerank)[-rerank]) & ~own)  # with all ties
+                take = ~own
+                if len(ids) > max(rerank, k):  # near copies differ by less than the codes tell: all of them are scored
+                    cut = np.partition(near, [-rerank, -k])
+                    take &= near >= min(cut[-rerank], cut[-k] - margin)
+                take = np.flatnonzero(take)
                 exact = (v[take] * q).sum(1)  # the same order of additions for each row: equal vectors tie
                 best = np.lexsort((ids[take], -exact))[:k]
                 out[0].append(np.full(len(best), qid[i]))

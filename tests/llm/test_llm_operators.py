@@ -61,6 +61,22 @@ def test_language(docs, spark):
     assert found[1].tolist() == [250, 250] and found[0, 0] == 250 and found[2, 1] == 250 and found[0, 1] < 25
 
 
+def test_ann_recall(spark):
+    """Vectors without clusters beside a large group of near copies: against brute force."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(6000, 32))
+    x[1000:3500] = x[1000] + rng.normal(size=(2500, 32)) * 1e-3
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(df, lambda c: c % 100 == 0).toPandas().groupby("query_id").vec_id.apply(set)
+    hits = []
+    for q in range(0, len(x), 100):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits.append(sum(score[i] >= np.sort(score)[-20] - 1e-12 for i in got[q]) / 20)
+    assert len(got) == 60 and np.mean(hits) >= 0.9 and min(hits) >= 0.5
+
+
 def test_ann(spark):
     r = np.random.default_rng(1)
     x = r.normal(size=(400, 10)).astype(float)

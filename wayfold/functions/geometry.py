@@ -26,7 +26,8 @@ def ring_area(ring: Column) -> Column:
 
 
 def ring_centroid(ring: Column) -> Column:
-    twice = _total(_pairs(ring, lambda a, b: a.x * b.z - b.x * a.z))
+    """Centroid of a closed ring; its fields are null where the ring has no area."""
+    twice = F.nullif(_total(_pairs(ring, lambda a, b: a.x * b.z - b.x * a.z)), F.lit(0.0))
     x = _total(_pairs(ring, lambda a, b: (a.x + b.x) * (a.x * b.z - b.x * a.z)))
     z = _total(_pairs(ring, lambda a, b: (a.z + b.z) * (a.x * b.z - b.x * a.z)))
     return F.struct((x / (3 * twice)).alias("x"), (z / (3 * twice)).alias("z"))
@@ -101,3 +102,23 @@ def envelope(ring: Column, height: float) -> Column:
     turned = F.concat(F.slice(p, 2, F.size(p) - 1), F.slice(p, 1, 1))
     sides = F.zip_with(p, turned, lambda a, b: F.array(line(up(a), up(b)), line(F.struct(a.x.alias("x"), a.y.alias("y"), a.z.alias("z")), up(a))))
     return F.when(F.size(p) >= 3, F.flatten(sides))
+
+
+GRID = 32  # candidates a side
+
+
+def interior_point(ring: Column) -> Column:
+    """struct(x, z) inside a ring: its centroid if that is inside, else, of the centres of a grid over its bounds, the
+    inner one farthest from the boundary (ties: smaller x, then z), else the middle of the line. Only rings whose
+    centroid is outside build the grid."""
+    c = ring_centroid(ring)
+    xs, zs = F.transform(ring, lambda p: p.x), F.transform(ring, lambda p: p.z)
+    span = [(F.array_min(v), F.array_max(v)) for v in (xs, zs)]
+    cells = F.sequence(F.lit(0), F.lit(GRID * GRID - 1))
+    at = lambda n, k: span[k][0] + (n + 0.5) * (span[k][1] - span[k][0]) / GRID
+    point = F.transform(cells, lambda n: F.struct(at(n % GRID, 0).alias("x"), at(F.floor(n / GRID), 1).alias("z")))
+    inner = F.filter(point, lambda p: inside(p.x, p.z, ring))
+    ranked = F.transform(inner, lambda p: F.struct((-boundary_distance(p.x, p.z, ring)).alias("d"), p.x.alias("x"), p.z.alias("z")))
+    best = F.array_min(ranked)
+    grid = F.when(best.isNotNull(), F.struct(best.x.alias("x"), best.z.alias("z"))).otherwise(midpoint(ring))
+    return F.when(inside(c.x, c.z, ring), c).otherwise(grid)

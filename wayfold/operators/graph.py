@@ -89,10 +89,38 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def ranked(df: DataFrame, order: list, group: tuple[str, ...] = ()) -> DataFrame:
+    """df with nth (from 1, by order, in its group) and of (its group's rows).
+
+    Rows are dealt by ranges of group and order, so that a group of any size, or one group of all rows, takes many
+    tasks; each range counts from what the ranges before it hold. Rows equal in order are numbered in any order.
+    """
+    d = durable(df.repartitionByRange(*group, *order).withColumn("__part", F.spark_partition_id()))
+    d = d.withColumn("__nth", F.row_number().over(Window.partitionBy("__part", *group).orderBy(*order)))
+    n = d.groupBy("__part", *group).agg(F.count(F.lit(1)).alias("__n"))  # a row for each group and range
+    whole = Window.partitionBy(*group)
+    before = F.coalesce(F.sum("__n").over(whole.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    n = n.select(F.col("__part").alias("__p"), *[F.col(c).alias(f"__g{i}") for i, c in enumerate(group)], before.alias("__before"), F.sum("__n").over(whole).alias("of"))
+    same = F.col("__part") == F.col("__p")
+    for i, c in enumerate(group):
+        same &= F.col(c).eqNullSafe(F.col(f"__g{i}"))
+    out = d.join(n, same)
+    return out.select(*df.columns, (F.col("__nth") + F.col("__before")).cast("long").alias("nth"), F.col("of").cast("long").alias("of"))
+
+
 def component_report(edges: DataFrame) -> DataFrame:
     """component_id (from 1, largest first, then smallest id), root, size."""
     sizes = components(edges).groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    return sizes.select(F.row_number().over(Window.orderBy(F.desc("size"), "root")).alias("component_id"), "root", "size")
+    return ranked(sizes, [F.desc("size"), F.col("root")]).select(F.col("nth").alias("component_id"), "root", "size")
+
+
+def component_numbers(nodes: DataFrame, edges: DataFrame, order: str = "id") -> DataFrame:
+    """id, component_id (from 0) of all nodes; components are numbered in the order of their first node, a node without
+    edges is one of its own."""
+    d = nodes.select("id", F.col(order).alias("place")).join(components(edges), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    first = d.groupBy("root").agg(F.min(F.struct("place", "id")).alias("first"))
+    numbers = ranked(first, [F.col("first")]).select("root", (F.col("nth") - 1).alias("component_id"))
+    return d.join(numbers, "root").select("id", "component_id")
 
 
 def isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:

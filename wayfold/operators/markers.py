@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import categories, scalars
+from .graph import ranked
 from .spatial import nearest_node
 
 ALIGNED_M = 15.0
@@ -60,8 +61,7 @@ def promoted(markers: DataFrame) -> DataFrame:
     rows with a name count too."""
     m = markers.where("reason is null").withColumn("category", categories.place_category(F.col("code"))).where("category is not null")
     key = ["area", "floor_id", "code"]
-    nth = F.row_number().over(Window.partitionBy(*key).orderBy("id"))
-    m = m.withColumn("nth", nth).join(m.groupBy(*key).agg(F.count(F.lit(1)).alias("of")), key)
+    m = ranked(m, [F.col("id")], tuple(key))
     made = F.concat(categories.name_ja(F.col("code")), F.when(F.col("of") > 1, F.concat(F.lit(" "), F.col("nth").cast("string"))).otherwise(""))
     kind = F.when(F.col("source_name").isNull(), "generated-category").otherwise("source")
     return m.select(F.concat(F.lit("facility:"), "id").alias("id"), F.coalesce("source_name", made).alias("name"), kind.alias("name_kind"), "category", "code", "area", "floor_id", "x", "y", "z", "node_id", "distance_m", scalars.confidence(F.col("distance_m")).alias("confidence"))

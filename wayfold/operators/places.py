@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from .graph import component_numbers, ranked
 
 
 def ordinals(places: DataFrame, *group: str) -> DataFrame:
     """places with ordinal: the number in its group by id, null in groups of one."""
-    w = Window.partitionBy(*group)
-    n = F.row_number().over(w.orderBy("id"))
-    return places.withColumn("ordinal", F.when(F.count(F.lit(1)).over(w) > 1, n))
+    d = ranked(places, [F.col("id")], group)
+    return d.select(*places.columns, F.when(F.col("of") > 1, F.col("nth")).alias("ordinal"))
 
 
 def flag_duplicates(markers: DataFrame) -> DataFrame:
     """duplicate: a marker of the same category, floor and place (to a tenth of a metre) has a smaller id."""
     tenth = lambda c: F.floor(F.col(c) * 10 + 0.5)
-    w = Window.partitionBy("category", "floor_id", tenth("x"), tenth("z")).orderBy("id")
-    return markers.withColumn("duplicate", F.row_number().over(w) > 1)
+    m = markers.withColumns({"__x": tenth("x"), "__z": tenth("z")})
+    key = ["category", "floor_id", "__x", "__z"]
+    first = m.groupBy(*key).agg(F.min("id").alias("__first")).select("__first", *[F.col(c).alias(f"_{c}") for c in key])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key])
+    return m.join(first, same).select(*markers.columns, (F.col("id") > F.col("__first")).alias("duplicate"))
 
 
 def declutter(markers: DataFrame, priority: Column, zoom: float, limit: int = 80) -> DataFrame:
@@ -67,3 +72,14 @@ def statistics(places: DataFrame) -> DataFrame:
     """One row: places, unique_names, and the count of each confidence."""
     level = [F.count(F.when(F.col("confidence") == c, 1)).alias(c) for c in ("high", "medium", "low")]
     return places.agg(F.count(F.lit(1)).alias("places"), F.count_distinct("name").alias("unique_names"), *level)
+
+
+def component_counts(places: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """component_id, n: places by the part of the network that their node_id belongs to."""
+    part = component_numbers(nodes, edges).withColumnRenamed("id", "node_id")
+    return places.select("node_id").join(part, "node_id").groupBy("component_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def index_statistics(terms: DataFrame) -> DataFrame:
+    """One row: places, terms, distinct_terms of a search index."""
+    return terms.agg(F.count_distinct("id").alias("places"), F.count(F.lit(1)).alias("terms"), F.count_distinct("term").alias("distinct_terms"))

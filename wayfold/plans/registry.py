@@ -156,7 +156,7 @@ c(id, root) using key (id) as (
 
 @query(f"with recursive {ctes('edges')}, " + COMPONENTS[len("with recursive ") :] + ", z as (select root, count(*) as size from c group by root) select row_number() over (order by size desc, root) as component_id, root, size from z")
 def component_report(s: SparkSession, d: str) -> DataFrame:
-    return graph.component_report(table(s, d, "edges")).withColumn("component_id", F.col("component_id").cast("long"))
+    return graph.component_report(table(s, d, "edges"))
 
 
 @query("select id, floor_id from nodes where id not in (select from_id from edges union select to_id from edges)", "nodes", "edges")

@@ -64,8 +64,18 @@ select concat('f', p_partkey) as id, p_partkey as source_record, p_brand as area
        case when p_partkey % 53 = 0 then '' when p_partkey % 4 = 3 then concat(' f', lpad(cast(p_size as string), 3, '0')) else concat('B', lpad(cast(p_size as string), 3, '0')) end as category,
        case p_partkey % 7 when 0 then '' when 1 then 'EV3' when 2 then '不明' when 3 then cast(p_partkey as string) when 4 then null else p_name end as name,
        (p_partkey % 97)*2.5e0 as x, {_elev("p_size")} as y, floor(p_partkey/97.0e0)*2.5e0 as z, 3.0e0 + p_partkey % 7 as w from {{part}}""",
+    # Named openings and spaces, one a part.
+    "openings": f"""
+select concat('o', p_partkey) as source_id, p_partkey as source_record, p_brand as area, case when p_partkey % 2 = 0 then 'Opening' else 'Space' end as layer,
+       case p_partkey % 9 when 0 then '' when 1 then '不明' when 2 then null when 3 then ' トイレ 北' when 4 then 'EV_1' when 5 then 'esc-2' when 6 then 'エレベーター前' when 7 then 'GATE_A-1' else p_name end as name,
+       {_floor("p_size")} as floor_id, (p_partkey % 89)*3.1e0 as x, {_elev("p_size")} as y, floor(p_partkey/89.0e0)*3.1e0 + 0.7e0 as z from {{part}}""",
+    # Reviewed nodes near every second part's opening, each fourth on the lowest floor.
+    "reviewed": f"""
+select concat('R', s_suppkey) as id, concat('gate:o', p_partkey) as place_id, case when s_suppkey % 6 = 0 then 'turn' else 'gate' end as role,
+       case when s_suppkey % 4 = 0 then 'B2' else {_floor("p_size")} end as floor_id, (p_partkey % 89)*3.1e0 + 1.0e0 as x, {_elev("p_size")} as y, floor(p_partkey/89.0e0)*3.1e0 + s_suppkey % 5 as z
+from {{supplier}} join {{part}} on p_partkey = s_suppkey*2""",
 }
-_INPUTS = {"nodes": ("part", "supplier", "nation"), "edges": ("lineitem",), "places": ("customer",), "requests": ("orders", "customer"), "walks": ("lineitem",), "ends": ("orders",), "features": ("part",)}
+_INPUTS = {"nodes": ("part", "supplier", "nation"), "edges": ("lineitem",), "places": ("customer",), "requests": ("orders", "customer"), "walks": ("lineitem",), "ends": ("orders",), "features": ("part",), "openings": ("part",), "reviewed": ("supplier", "part")}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from wayfold.functions import categories, texts
-from wayfold.operators import building, graph, rules
+from wayfold.operators import building, graph, routing, rules
 
 NODE = "id string, floor_id string, x double, y double, z double"
 LAYER = "source_id string, area string, layer string, name string, floor_id string, x double, y double, z double"
@@ -105,3 +105,17 @@ def test_place_rules(spark):
     p = spark.createDataFrame([("a", "A", "gate", "0", 0.0, 0.0, 0.0, "n", 5.0, "high", False, True), ("b", "", "den", "1", 0.0, 9.0, 0.0, "n", 5.0, "low", False, True), ("c", "C", "exit", "0", 0.0, 0.0, 0.0, None, -1.0, "high", True, True)], "id string, name string, category string, floor_id string, x double, y double, z double, node_id string, distance_m double, confidence string, reviewed boolean, routable boolean")
     got = {(r.source_id, r.code) for r in rules.place_issues(p, n).collect()}
     assert got == {("b", "name-missing"), ("b", "category-unknown"), ("b", "floor-mismatch"), ("b", "low-but-routable"), ("c", "node-missing"), ("c", "distance-negative")}
+
+
+def test_request_outcomes(spark):
+    places = [("a", True, "1", "yes", 0), ("b", True, "2", "no", 0), ("c", True, "3", "yes", 1), ("d", False, "4", "yes", 0), ("e", True, "5", "yes", 0)]
+    p = spark.createDataFrame(places, "id string, routable boolean, node_id string, accessibility string, component_id int")
+    ways = [("a", "b", "accessible"), ("b", "b", "accessible"), ("a", "b", "shortest"), ("a", "c", "shortest"), ("a", "d", "shortest"), ("a", "x", "shortest"), ("a", "a", "accessible"), ("a", "e", "avoid-stairs"), ("a", "e", "shortest")]
+    r = spark.createDataFrame([(i, *w) for i, w in enumerate(ways)], "request_id int, start_id string, destination_id string, profile string")
+    got = {x.request_id: (x.status, x.reason) for x in routing.classify(r, p, bounded=True).collect()}
+    assert got[0] == got[1] == ("unreachable", "no-accessible-path") and got[2] == (None, None) and got[6] == ("ok", "already-there")
+    assert got[3] == ("outside-coverage", "different-components-in-bounded-extraction") and got[4] == ("invalid-place", "low-confidence-attachment") and got[5] == ("invalid-place", "not-found")
+    found = spark.createDataFrame([("shortest", "1", "2", 7.5)], "profile string, start_node string, destination_node string, distance_m double")
+    end = {x.request_id: (x.status, x.reason, x.distance_m) for x in routing.outcomes(routing.classify(r, p), found).collect()}
+    assert end[2] == ("ok", None, 7.5) and end[6] == ("ok", "already-there", 0.0) and end[7] == ("unreachable", "no-stair-free-path", None) and end[8] == ("unreachable", "no-directed-path", None)
+    assert end[3] == ("unreachable", "no-directed-path", None) and end[5][0] == "invalid-place"

@@ -8,20 +8,44 @@ from pyspark.sql import functions as F
 from .graph import durable
 
 
-def classify(requests: DataFrame, places: DataFrame) -> DataFrame:
-    """request_id, status, reason (null status: to be searched), with both nodes. places: id, routable, node_id."""
-    side = lambda s: places.select(F.col("id").alias(f"{s}_id"), F.col("routable").alias(f"{s}_ok"), F.col("node_id").alias(f"{s}_node"))
+#: Why nothing was found, by profile.
+UNREACHABLE = {"accessible": "no-accessible-path", "avoid-stairs": "no-stair-free-path"}
+
+
+def classify(requests: DataFrame, places: DataFrame, bounded: bool = False) -> DataFrame:
+    """request_id, status, reason (null status: to be searched), with both nodes. places: id, routable, node_id, and
+    perhaps accessibility (of the way to the network) and component_id; bounded: the network is a part of a larger one,
+    so that ends in different components are outside its coverage."""
+    more = [c for c in ("accessibility", "component_id") if c in places.columns]
+    side = lambda s: places.select(F.col("id").alias(f"{s}_id"), F.col("routable").alias(f"{s}_ok"), F.col("node_id").alias(f"{s}_node"), *[F.col(c).alias(f"{s}_{c}") for c in more])
     d = requests.join(side("start"), "start_id", "left").join(side("destination"), "destination_id", "left")
     rules = [
         (F.col("start_ok").isNull(), "invalid-place", "not-found"),
         (F.col("destination_ok").isNull(), "invalid-place", "not-found"),
         (~F.col("start_ok") | ~F.col("destination_ok"), "invalid-place", "low-confidence-attachment"),
-        (F.col("start_id") == F.col("destination_id"), "ok", "already-there"),
     ]
+    if "accessibility" in more:
+        rules.append(((F.col("profile") == "accessible") & ((F.col("start_accessibility") == "no") | (F.col("destination_accessibility") == "no")), "unreachable", UNREACHABLE["accessible"]))
+    rules.append((F.col("start_id") == F.col("destination_id"), "ok", "already-there"))
+    if bounded and "component_id" in more:
+        rules.append((F.col("start_component_id") != F.col("destination_component_id"), "outside-coverage", "different-components-in-bounded-extraction"))
     status, reason = F.lit(None).cast("string"), F.lit(None).cast("string")
     for when, s, r in reversed(rules):
         status, reason = F.when(when, s).otherwise(status), F.when(when, r).otherwise(reason)
-    return d.withColumn("status", status).withColumn("reason", reason)
+    return d.withColumn("status", status).withColumn("reason", reason).drop(*[f"{s}_{c}" for s in ("start", "destination") for c in more])
+
+
+def outcomes(asked: DataFrame, found: DataFrame) -> DataFrame:
+    """asked (as classify gives it) with the costs that were found (profile, start_node, destination_node, distance_m):
+    status and reason are final, distance_m is null where no way was found and 0 where there is none to go."""
+    keys = ["profile", "start_node", "destination_node"]
+    d = asked.join(found.select(*keys, "distance_m"), keys, "left")
+    lost = F.col("status").isNull() & F.col("distance_m").isNull()
+    why = F.lit("no-directed-path")
+    for profile, text in UNREACHABLE.items():
+        why = F.when(F.col("profile") == profile, text).otherwise(why)
+    metres = F.when(F.col("status").isNull(), F.col("distance_m")).when(F.col("status") == "ok", F.lit(0.0))
+    return d.withColumns({"reason": F.when(lost, why).otherwise(F.col("reason")), "status": F.when(lost, "unreachable").otherwise(F.coalesce("status", F.lit("ok"))), "distance_m": metres})
 
 
 def shortest(arcs: DataFrame, sources: DataFrame, max_rounds: int = 400) -> DataFrame:

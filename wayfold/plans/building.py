@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import categories, scalars, texts
 from ..functions.scalars import millimetres as mm
-from ..operators import building, graph, guidance, places, rules
+from ..operators import building, graph, guidance, places, routing, rules
 from ..sources.derived import ctes, table
 from .guidance import STEPS, _steps
-from .registry import COMPONENTS, EDGE_CTE, MM, _edges, query
+from .registry import COMPONENTS, EDGE_CTE, MM, NEAREST, _attached, _edges, query
 
 
 def _quoted(v) -> str:
@@ -231,3 +229,15 @@ def journey_texts(s: SparkSession, d: str) -> DataFrame:
 @query("with t as (select distinct p_partkey as id, lower(trim(p_name)) as term from part where trim(p_name) <> '') select count(distinct id) as places, count(*) as terms, count(distinct term) as distinct_terms from t")
 def search_index_statistics(s: SparkSession, d: str) -> DataFrame:
     return places.index_statistics(places.search_terms(table(s, d, "part").select(F.col("p_partkey").alias("id"), "p_name"), "p_name"))
+
+
+@query(f"with recursive {ctes('nodes', 'edges', 'places', 'requests')}, " + COMPONENTS[len("with recursive ") :] + ", " + NEAREST[5:] + """, p as (select near.id, near.d, coalesce(c.root, near.node_id) as part, case when category='atm' then 'no' else 'unknown' end as access from near join places using (id) left join c on c.id=near.node_id)
+select r.request_id, r.profile, case when a.id is null or b.id is null or a.d > 15 or b.d > 15 then 'invalid-place' when profile='accessible' and 'no' in (a.access, b.access) then 'unreachable' when a.id=b.id then 'ok' when a.part<>b.part then 'outside-coverage' end as status,
+ case when a.id is null or b.id is null then 'not-found' when a.d > 15 or b.d > 15 then 'low-confidence-attachment' when profile='accessible' and 'no' in (a.access, b.access) then 'no-accessible-path' when a.id=b.id then 'already-there' when a.part<>b.part then 'different-components-in-bounded-extraction' end as reason
+from requests r left join p a on r.start_id=a.id left join p b on r.destination_id=b.id""")
+def bounded_request_status(s: SparkSession, d: str) -> DataFrame:
+    """Requests on a part of a network; the ways to cash machines aren't accessible."""
+    part = graph.component_numbers(table(s, d, "nodes"), table(s, d, "edges")).withColumnRenamed("id", "node_id")
+    access = table(s, d, "places").select("id", F.when(F.col("category") == "atm", "no").otherwise("unknown").alias("accessibility"))
+    p = _attached(s, d).join(access, "id").join(part, "node_id", "left")
+    return routing.classify(table(s, d, "requests"), p, bounded=True).select("request_id", "profile", "status", "reason")

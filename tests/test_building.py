@@ -1,9 +1,13 @@
 """Places, guidance networks, ids, numbers in hot groups, texts and rules on hand-made rows."""
 
+import json
+
+import pytest
 from pyspark.sql import functions as F
 
 from wayfold.functions import categories, texts
-from wayfold.operators import building, graph, routing, rules
+from wayfold.operators import building, graph, quality, routing, rules
+from wayfold.sources import datasets
 
 NODE = "id string, floor_id string, x double, y double, z double"
 LAYER = "source_id string, area string, layer string, name string, floor_id string, x double, y double, z double"
@@ -119,3 +123,17 @@ def test_request_outcomes(spark):
     end = {x.request_id: (x.status, x.reason, x.distance_m) for x in routing.outcomes(routing.classify(r, p), found).collect()}
     assert end[2] == ("ok", None, 7.5) and end[6] == ("ok", "already-there", 0.0) and end[7] == ("unreachable", "no-stair-free-path", None) and end[8] == ("unreachable", "no-directed-path", None)
     assert end[3] == ("unreachable", "no-directed-path", None) and end[5][0] == "invalid-place"
+
+
+def test_datasets(spark, tmp_path):
+    d = spark.createDataFrame([(f"{i:03}", i * 37 % 100, None if i % 9 else "x") for i in range(100)][::-1], "id string, n int, name string")
+    datasets.write_dataset(d, f"{tmp_path}/a")
+    lines = [json.loads(x) for f in sorted((tmp_path / "a").glob("part-*")) for x in f.read_text().splitlines()]
+    assert [x["id"] for x in lines] == sorted(x["id"] for x in lines) and lines[0]["schemaVersion"] == 1 and "name" not in lines[1]
+    back = datasets.read_dataset(spark, f"{tmp_path}/a", "id string, n int, name string")
+    assert quality.same_rows(d, back) and quality.differences(d, back.where("n != 5")).count() == 1
+    (tmp_path / "old.json").write_text('{"id": "a", "schemaVersion": 2}')
+    with pytest.raises(Exception, match="unsupported schemaVersion"):
+        datasets.read_dataset(spark, f"{tmp_path}/old.json", "id string").collect()
+    (tmp_path / "doc.json").write_text(json.dumps({"places": [{"id": "a"}, {"id": "b"}]}, indent=1))
+    assert datasets.read_document(spark, f"{tmp_path}/doc.json", "places array<struct<id: string>>", "places").count() == 2

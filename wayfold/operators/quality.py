@@ -42,6 +42,18 @@ def uncovered(wanted: DataFrame, given: DataFrame, key: str) -> DataFrame:
     return a.unionByName(given.select(key).join(wanted.select(key), key, "left_anti").withColumn("side", F.lit("unknown"))).distinct()
 
 
+def differences(left: DataFrame, right: DataFrame) -> DataFrame:
+    """side (left, right) and the row, for each row that one build of a table has and the other hasn't; repeats count."""
+    cols = left.columns
+    only = lambda a, b, side: a.select(*cols).exceptAll(b.select(*cols)).select(F.lit(side).alias("side"), *cols)
+    return only(left, right, "left").unionByName(only(right, left, "right"))
+
+
+def dataset_sizes(tables: dict[str, DataFrame]) -> DataFrame:
+    """dataset, rows: what a release holds."""
+    return reduce(DataFrame.unionByName, [t.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("dataset"), "rows") for n, t in tables.items()])
+
+
 def same_rows(left: DataFrame, right: DataFrame) -> bool:
     """Whether two builds of a table hold the same rows."""
     diff = [left.exceptAll(right), right.exceptAll(left)]

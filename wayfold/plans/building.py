@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import categories, scalars, texts
 from ..functions.scalars import millimetres as mm
-from ..operators import building, graph, guidance, places, routing, rules
+from ..operators import building, graph, guidance, places, quality, routing, rules
 from ..sources.derived import ctes, table
 from .guidance import STEPS, _steps
 from .registry import COMPONENTS, EDGE_CTE, MM, NEAREST, _attached, _edges, query
@@ -161,7 +161,7 @@ def reviewed_network_issues(s: SparkSession, d: str) -> DataFrame:
     found = rules.reviewed_issues(n.where("id like 'R%'"), e, a.where("node_id like 'R%'"), official, table(s, d, "edges"), ["B2", "B1", "0", "1"])
     # nodes whose ids are taken are judged apart, so that each id stands for one node
     taken = rules.reviewed_issues(n.where("id like 'P%'"), e.limit(0), a.where("node_id like 'P%'"), official, table(s, d, "edges"), ["B2", "B1", "0", "1"])
-    return found.where("code != 'place-attached-twice'").unionByName(taken.where("code != 'place-attached-twice'")).unionByName(rules.quality.repeated(a, "place_id").select("source_id", F.lit("place-attached-twice").alias("code")))
+    return found.where("code != 'place-attached-twice'").unionByName(taken.where("code != 'place-attached-twice'")).unionByName(quality.repeated(a, "place_id").select("source_id", F.lit("place-attached-twice").alias("code")))
 
 
 @query("with n as (select id, row_number() over (order by id) - 1 as at, count(*) over () as of_ from nodes), q as (select unnest(range(40)) as pair), p as (select unnest(['shortest','accessible','avoid-stairs','prefer-elevator','fewest-floor-changes']) as profile) select pair::bigint as pair, profile, a.id as start_id, b.id as goal_id from q, p, n a, n b where a.at = (pair*17) % a.of_ and b.at = (pair*43+29) % b.of_", "nodes")
@@ -241,3 +241,17 @@ def bounded_request_status(s: SparkSession, d: str) -> DataFrame:
     access = table(s, d, "places").select("id", F.when(F.col("category") == "atm", "no").otherwise("unknown").alias("accessibility"))
     p = _attached(s, d).join(access, "id").join(part, "node_id", "left")
     return routing.classify(table(s, d, "requests"), p, bounded=True).select("request_id", "profile", "status", "reason")
+
+
+@query("""with a as (select id, floor_id, kind from nodes), b as (select id, case when cast(substr(id, 2) as bigint) % 41 = 0 then 'moved' else floor_id end as floor_id, kind from nodes where cast(substr(id, 2) as bigint) % 43 <> 0)
+select 'left' as side, * from (select * from a except all select * from b) union all select 'right', * from (select * from b except all select * from a)""", "nodes")
+def rebuilt_nodes(s: SparkSession, d: str) -> DataFrame:
+    """Two builds of the nodes; the second lost some and moved others."""
+    a, k = table(s, d, "nodes").select("id", "floor_id", "kind"), F.substring("id", 2, 20).cast("long")
+    b = a.where(k % 43 != 0).withColumn("floor_id", F.when(k % 41 == 0, "moved").otherwise(F.col("floor_id")))
+    return quality.differences(a, b)
+
+
+@query("select 'nodes' as dataset, count(*) as rows from nodes union all select 'edges', count(*) from edges union all select 'places', count(*) from places union all select 'features', count(*) from features", "nodes", "edges", "places", "features")
+def release_sizes(s: SparkSession, d: str) -> DataFrame:
+    return quality.dataset_sizes({t: table(s, d, t) for t in ("nodes", "edges", "places", "features")})

@@ -276,3 +276,22 @@ def test_pipeline(spark):
     assert sorted(got.doc_id) == sorted(r.doc_id for r in docs.select("doc_id").collect())
     texts = {r.doc_id: r.text for r in docs.collect()}
     assert len(set(texts.values())) == len(texts)  # no exact copy is left
+
+
+def test_near_dups_behind_a_foreign_member(spark):
+    """Near copies that share only buckets which a passage of many documents fills are found."""
+    r = random.Random(8)
+    word = iter(f"q{i}" for i in range(10**6))
+    passage = [next(word) for _ in range(22)]
+    rows, pairs = [], []
+    for i in range(300):  # foreign first members have the smallest ids
+        rows.append((i, " ".join(passage + [next(word) for _ in range(8)])))
+    for i in range(300):
+        own = [next(word) for _ in range(8)]
+        other = list(own)
+        other[r.randrange(2, 6)] = next(word)
+        rows += [(1000 + 2 * i, " ".join(passage + own)), (1001 + 2 * i, " ".join(passage + other))]
+        pairs.append((1000 + 2 * i, 1001 + 2 * i))
+    got = near_dups.cluster(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().set_index("doc_id").cluster_id
+    assert all(got[a] == got[b] == a for a, b in pairs)
+    assert all(got[i] == i for i in range(300))

@@ -295,3 +295,21 @@ def test_near_dups_behind_a_foreign_member(spark):
     got = near_dups.cluster(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().set_index("doc_id").cluster_id
     assert all(got[a] == got[b] == a for a, b in pairs)
     assert all(got[i] == i for i in range(300))
+
+
+def test_near_dups_recall_by_similarity(spark):
+    """Scattered edits in 10, 15 and 19 % of the words, against alignment of the planted pairs."""
+    r = random.Random(4)
+    rows, pairs = [], []
+    for share, n in ((0.10, 100), (0.15, 100), (0.19, 100)):
+        for _ in range(n):
+            i = 2 * len(pairs)
+            a = [f"v{r.randrange(20000)}" for _ in range(200)]
+            b = list(a)
+            for at in r.sample(range(200), int(200 * share)):
+                b[at] = f"z{r.randrange(20000)}"
+            rows += [(i, " ".join(a)), (i + 1, " ".join(b))]
+            pairs.append((i, share))
+    got = near_dups.cluster(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().set_index("doc_id").cluster_id
+    found = {s: np.mean([got[i] == got[i + 1] for i, x in pairs if x == s]) for s in (0.10, 0.15, 0.19)}
+    assert found[0.10] >= 0.99 and found[0.15] >= 0.95 and found[0.19] >= 0.85, found

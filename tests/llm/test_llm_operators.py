@@ -313,3 +313,15 @@ def test_near_dups_recall_by_similarity(spark):
     got = near_dups.cluster(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().set_index("doc_id").cluster_id
     found = {s: np.mean([got[i] == got[i + 1] for i, x in pairs if x == s]) for s in (0.10, 0.15, 0.19)}
     assert found[0.10] >= 0.99 and found[0.15] >= 0.95 and found[0.19] >= 0.85, found
+
+
+def test_near_dups_row_identity(spark):
+    """Null ids, an id with two texts, and negative ids lose no different text and keep no copy."""
+    r = random.Random(6)
+    text = [[f"u{r.randrange(9000)}" for _ in range(60)] for _ in range(8)]
+    near = lambda i: " ".join(text[i][:30] + ["other"] + text[i][31:])
+    t = [" ".join(x) for x in text]
+    rows = [(None, t[0]), (None, t[1]), (None, t[1]), (None, near(0)), (7, t[2]), (7, t[3]), (9, near(3)), (-5, t[4]), (4, t[4]), (6, near(4)), (8, t[5]), (8, near(5)), (1, t[6]), (None, near(6))]
+    kept = near_dups.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = Counter((x.doc_id, next(i for i in range(8) if x.text in (t[i], near(i)))) for x in kept)
+    assert got == Counter([(None, 0), (None, 1), (7, 2), (7, 3), (-5, 4), (8, 5), (1, 6)])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 
 import numpy as np
@@ -21,10 +23,13 @@ _PRIME = 0x9E3779B97F4A7C15
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the session names; set an own one only where none is set (tests)."""
+    """Use the shared folder that the session names. Where none is set, a local session (tests) gets one of its own; on
+    a cluster that is an error, since executors don't see each other's folders."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="wayfold-checkpoint-"))
 
 
@@ -59,6 +64,19 @@ def bounded_sample(df: DataFrame, key: str, bound: int, total: int, seed: str) -
     return df.where(F.abs(F.xxhash64(F.lit(seed), F.col(key)) % F.lit(2**31)) < share)
 
 
+_TRIM = None
+with contextlib.suppress(OSError, AttributeError):  # glibc
+    _TRIM = ctypes.CDLL(None).malloc_trim
+
+
+def tidy() -> None:
+    """Give back what a batch's temporaries leave in the allocators, so that reused workers don't grow from stage to
+    stage. Called between batches."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def text_view(arr: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (length n + 1) of an Arrow string array without copying; nulls are empty texts."""
     if isinstance(arr, pa.ChunkedArray):

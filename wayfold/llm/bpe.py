@@ -1,17 +1,22 @@
 """BPE encoding and decoding as streaming transducers.
 
 The merge list fixes a lookahead: no symbol further on can move a token boundary that far back. The encoder keeps a
-window of that size, emits tokens once they are stable, and so needs constant memory for words of any length. The
-decoder turns token bytes into text with an incremental UTF-8 state machine.
+window of that size, emits tokens once they are stable, and so needs constant memory for words of any length: each
+word goes through it, and ids flow on to both digests as they become stable. What it gave for a short word is
+remembered, so that frequent words are merged once. The decoder turns token bytes into text with an incremental UTF-8
+state machine.
+
+Defined results: a null text counts as empty and has no tokens; repeated rows get equal digests; an empty table gives
+no rows; texts may have any length.
 """
 
 from __future__ import annotations
 
-import codecs
 import hashlib
 import json
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import cached_property
 
 import pandas as pd
@@ -19,10 +24,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, tidy
 
-#: Texts' pieces whose tokens a worker remembers; the table is emptied when full.
-MEMO = 150_000
+#: Short pieces and words whose tokens a task remembers; a table is emptied when full.
+MEMO = 100_000
+MEMO_CHARS = 64
+#: Characters of a text that are cut into pieces at once.
+BLOCK = 1 << 16
 #: Symbols a window takes in between two emissions.
 STEP = 256
 ID_BITS = 24
@@ -109,7 +117,7 @@ def merge(ids: list[int], ranks: dict) -> list[int]:
 
 
 class Encoder:
-    """feed() pieces of a word, get stable tokens; finish() ends the word. encode() does whole texts."""
+    """feed() bytes of a word, get stable tokens; finish() ends the word. stream() does whole texts."""
 
     def __init__(self, merges: Merges, memo: int = MEMO, step: int = STEP):
         self.m, self.memo_size, self.step = merges, memo, step
@@ -129,6 +137,10 @@ class Encoder:
 
     def feed(self, piece: bytes) -> list[int]:
         """Take in some bytes of a word; the tokens that are stable now."""
+        if self.held is None and len(piece) <= self.step:  # a word's beginning, often the whole word
+            self.window = [*map(self.inner.__getitem__, piece[:-1])]
+            self.held = piece[-1]
+            return []
         out: list[int] = []
         for i in range(0, len(piece), self.step):
             part = piece[i : i + self.step]
@@ -154,53 +166,69 @@ class Encoder:
         self.window, self.held = [], None
         return out
 
-    def _word(self, word: str) -> tuple[int, ...] | list[int]:
-        """Tokens of one word of the pattern."""
+    def word(self, word: str) -> tuple[int, ...]:
+        """Tokens of a short word; what the transducer gave is remembered."""
         ids = self.words_seen.get(word)
         if ids is None:
-            raw = word.encode("utf-8", "replace")
-            if len(raw) > self.step:
-                return self.feed(raw) + self.finish()
-            ids = tuple(merge([*map(self.inner.__getitem__, raw[:-1]), self.last[raw[-1]]], self.ranks))
+            self.feed(word.encode("utf-8", "replace"))
+            ids = tuple(self.finish())
             if len(self.words_seen) >= self.memo_size:
                 self.words_seen.clear()
             self.words_seen[word] = ids
         return ids
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        if piece.isalpha() and piece.isascii():  # one word as it is
-            return self._word(piece.lower())
-        out: list[int] = []
+    def long_word(self, word: str):
+        """Tokens of a word of any length, as they become stable."""
+        for i in range(0, len(word), self.step):
+            yield self.feed(word[i : i + self.step].encode("utf-8", "replace"))
+        yield self.finish()
+
+    def pieces(self, piece: str):
+        """Token runs of a piece between blanks: special tokens, and the words of the pattern."""
         for part in self.specials.split(piece) if self.specials and "<" in piece else (piece,):
             if part in self.m.special:
-                out.append(self.m.special[part])
+                yield (self.m.special[part],)
                 continue
             if not part.isascii() and not unicodedata.is_normalized("NFC", part):
                 part = unicodedata.normalize("NFC", part)
             part = part.replace("Σ", "σ").lower()
-            if part.isalpha():
-                out += self._word(part)
-            elif part[:-1].isalpha() and part[-1] in ".,!":
-                out += self._word(part[:-1])
-                out += self._word(part[-1])
-            else:
-                for word in self.words.findall(part):
-                    out += self._word(word)
-        return tuple(out)
+            for found in self.words.finditer(part):
+                if len(word := found[0]) <= MEMO_CHARS:
+                    yield self.word(word)
+                else:
+                    yield from self.long_word(word)
+
+    def piece(self, piece: str) -> tuple[int, ...]:
+        """Tokens of a short piece."""
+        low = piece if piece.isascii() else unicodedata.normalize("NFC", piece).replace("Σ", "σ")
+        low = low.lower()
+        if low.isalpha():  # one word as it is
+            return self.word(low)
+        if low[:-1].isalpha() and low[-1] in ".,!":
+            return self.word(low[:-1]) + self.word(low[-1])
+        return tuple(t for run in self.pieces(piece) for t in run)
 
     def stream(self, text: str):
-        """Token tuples of a text's pieces between blanks, in order."""
-        memo = self.memo
-        pieces = text.split() if not _PY_ONLY.search(text) else filter(None, _BLANKS.split(text))
-        for piece in pieces:
-            ids = memo.get(piece)
-            if ids is None:
-                ids = self._piece(piece)
-                if len(memo) >= self.memo_size:
-                    memo.clear()
-                if len(piece) <= 64:
+        """Token runs of a text, in order. Beside the text and its longest piece between blanks (to normalise it), memory
+        holds a block of pieces, the window and the tables."""
+        memo, lo = self.memo, 0
+        while lo < len(text):
+            cut = _BLANKS.search(text, lo + BLOCK) if lo + BLOCK < len(text) else None
+            hi = cut.start() if cut else len(text)
+            block = text[lo:hi] if lo or cut else text
+            for piece in block.split() if not _PY_ONLY.search(block) else filter(None, _BLANKS.split(block)):
+                ids = memo.get(piece)
+                if ids is not None:
+                    yield ids
+                elif len(piece) > MEMO_CHARS:
+                    yield from self.pieces(piece)
+                else:
+                    ids = self.piece(piece)
+                    if len(memo) >= self.memo_size:
+                        memo.clear()
                     memo[piece] = ids
-            yield ids
+                    yield ids
+            lo = hi if cut else len(text)
 
     def encode(self, text: str | None) -> list[int]:
         out: list[int] = []
@@ -209,9 +237,28 @@ class Encoder:
         return out
 
 
+def open_tail(raw: bytes) -> int:
+    """Bytes at the end of raw (0 to 3) that begin a UTF-8 character and are valid so far, but don't end it."""
+    for back in range(1, min(3, len(raw)) + 1):
+        lead = raw[-back]
+        if lead & 0xC0 == 0x80:
+            continue
+        need = 2 if 0xC2 <= lead <= 0xDF else 3 if lead & 0xF0 == 0xE0 else 4 if 0xF0 <= lead <= 0xF4 else 1
+        if need <= back:
+            return 0
+        if back > 1:  # the second byte has a narrower range after some lead bytes
+            low = {0xE0: 0xA0, 0xF0: 0x90}.get(lead, 0x80)
+            high = {0xED: 0x9F, 0xF4: 0x8F}.get(lead, 0xBF)
+            if not low <= raw[1 - back] <= high:
+                return 0
+        return back
+    return 0
+
+
 class Decoder:
     """push() ids, get the text that is complete; finish() flushes. Invalid bytes become U+FFFD.
 
+    State: the bytes of a character that isn't complete yet (three at most), and whether a token came before.
     spaced: as a vocabulary file without a decoder is decoded, the tokens' printed forms joined by one blank.
     Otherwise the bytes that the tokens stand for, with one blank after each end of a word.
     """
@@ -222,52 +269,72 @@ class Decoder:
         else:
             value = {s: b for b, s in enumerate(byte_symbols())}
             ends = len(merges.end)
-            self.bytes = [bytes(value[c] for c in (t[:-ends] if ends and t.endswith(merges.end) else t)) + b" " * bool(ends and t.endswith(merges.end)) if t in merges.vocab else t.encode() for t in merges.tokens]
+            plain = lambda t: t[:-ends] if ends and t.endswith(merges.end) else t
+            blank = lambda t: b" " * bool(ends and t.endswith(merges.end))
+            self.bytes = [bytes(value[c] for c in plain(t)) + blank(t) if t in merges.vocab else t.encode() for t in merges.tokens]
         self.joint = b" " if spaced else b""
         self.reset()
 
     def reset(self) -> None:
-        self.state = codecs.getincrementaldecoder("utf-8")("replace")
-        self.begun = False
+        self.held, self.begun = b"", False
 
     def push(self, ids) -> str:
         raw = self.joint.join(map(self.bytes.__getitem__, ids))
         if self.begun and ids:
             raw = self.joint + raw
         self.begun |= bool(ids)
-        return self.state.decode(raw)
+        return self.push_bytes(raw)
+
+    def push_bytes(self, raw: bytes) -> str:
+        raw = self.held + raw
+        tail = open_tail(raw)
+        self.held = raw[len(raw) - tail :]
+        return raw[: len(raw) - tail].decode("utf-8", "replace")
 
     def finish(self) -> str:
-        out = self.state.decode(b"", True)
+        out = self.held.decode("utf-8", "replace")
         self.reset()
         return out
 
 
 DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string"
-_READY: dict[str, tuple] = {}
+#: Token ids that go to the digests at once.
+FLUSH = 4096
+
+
+def digest(text: str, encoder: Encoder, decoder: Decoder, numbers: list[str]) -> tuple[int, str, str]:
+    """Number of tokens and both digests of a text; the ids flow through, they are never held together."""
+    ids_sha, text_sha, n, run = hashlib.sha256(), hashlib.sha256(), 0, []
+
+    def flush():
+        nonlocal n, run
+        ids_sha.update((" " * (n > 0) + " ".join(map(numbers.__getitem__, run))).encode())
+        text_sha.update(decoder.push(run).encode())
+        n, run = n + len(run), []
+
+    for ids in encoder.stream(text):
+        run += ids
+        if len(run) >= FLUSH:
+            flush()
+    if run:
+        flush()
+    text_sha.update(decoder.finish().encode())
+    return n, ids_sha.hexdigest(), text_sha.hexdigest()
 
 
 def digests(spark: SparkSession, path: str):
-    """A vectorised column function: text -> struct(n_tokens, ids_sha256, decoded_sha256)."""
+    """A vectorised column function: text -> struct(n_tokens, ids_sha256, decoded_sha256). The tables live as long as
+    the task."""
     shared = spark.sparkContext.broadcast(Merges(path))  # of the vocabulary file's size
 
-    def run(texts: pd.Series) -> pd.DataFrame:
-        if path not in _READY:
-            m = shared.value
-            _READY.clear()
-            _READY[path] = Encoder(m), Decoder(m), [str(i) for i in range(len(m.tokens))]
-        encoder, decoder, numbers = _READY[path]
-        rows = []
-        for text in texts:
-            ids = encoder.encode(text if isinstance(text, str) else "")
-            ids_sha, text_sha = hashlib.sha256(), hashlib.sha256()
-            for i in range(0, len(ids), 8192):
-                part = ids[i : i + 8192]
-                ids_sha.update((" " * (i > 0) + " ".join(map(numbers.__getitem__, part))).encode())
-                text_sha.update(decoder.push(part).encode())
-            text_sha.update(decoder.finish().encode())
-            rows.append((len(ids), ids_sha.hexdigest(), text_sha.hexdigest()))
-        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        m = shared.value
+        encoder, decoder, numbers = Encoder(m), Decoder(m), [str(i) for i in range(len(m.tokens))]
+        for texts in batches:
+            rows = [digest(t if isinstance(t, str) else "", encoder, decoder, numbers) for t in texts]
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        del encoder, decoder, numbers
+        tidy()
 
     return F.pandas_udf(run, DIGEST).asNondeterministic()
 
@@ -276,9 +343,10 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", out: str =
     """docs with an array column of token ids (null or empty text: an empty array)."""
     shared = docs.sparkSession.sparkContext.broadcast(Merges(path))
 
-    def run(texts: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = Encoder(shared.value)
-        return pd.Series([encoder.encode(t if isinstance(t, str) else "") for t in texts])
+        for texts in batches:
+            yield pd.Series([encoder.encode(t if isinstance(t, str) else "") for t in texts])
 
     return docs.withColumn(out, F.pandas_udf(run, "array<int>")(F.col(text)))
 

@@ -3,10 +3,16 @@
 A filter is an array of positions, each with one bit for every language (bit-sliced Bloom filters): the AND of the
 words at an n-gram's positions holds all languages that contain the n-gram. Counts per language over a text,
 corrected for each filter's false-positive rate, decide.
+
+Defined results: a null text and one without a letter are ``und`` with score 0; where no n-gram is known the most
+frequent learnt language is the answer, with score 0; of equal counts the first language by name wins; repeated rows get
+equal answers; an empty table gives no rows, and without training rows every text is ``und``. Rows of training whose
+language or text is null teach nothing.
 """
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,14 +22,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import U64, fold_of, free_name, mix64, read, text_slices, text_view
+from .common import U64, durable, fold_of, free_name, mix64, read, text_slices, text_view, tidy
 
 N = 4
 HASHES = 4
 #: Bounds of the training sample and of the model.
 DOCS_PER_LANGUAGE = 2500
 GRAMS_PER_LANGUAGE = 20_000
-MAX_LANGUAGES = 1024
 #: A stage rejects texts of which a smaller share of n-grams belongs to the language found.
 MIN_HIT_RATE = 0.05
 
@@ -32,7 +37,7 @@ _LETTERS: list[np.ndarray] = []
 
 def _letters() -> np.ndarray:
     if not _LETTERS:
-        _LETTERS.append(np.fromiter((chr(c).isalpha() for c in range(0x30000)), bool, 0x30000))
+        _LETTERS.append(np.fromiter((chr(c).isalpha() for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1))
     return _LETTERS[0]
 
 
@@ -46,7 +51,7 @@ def text_grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndar
     size = np.fromiter(map(len, parts), np.int64, len(parts))
     end = np.cumsum(size)
     row = np.repeat(np.arange(len(parts)), size)
-    letter = _letters()[np.minimum(code, 0x2FFFF)]
+    letter = _letters()[code]
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # one blank after each run of letters
     start = end - size
@@ -140,25 +145,30 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     """Learn filters from the rows of docs with a text and a language.
 
     A hashed sample of about ``docs_per_language`` whole texts of each language is counted. A language's filter gets the
-    n-grams that are frequent in it (the ``grams_per_language`` most frequent, three occurrences at least) and not five
-    times as frequent in another language. Without rows there are no languages, and all texts are ``und``.
+    n-grams that are frequent in it (three occurrences at least) and not five times as frequent in another language: of
+    these the ``grams_per_language`` most frequent (of equal counts at the bound a hashed share), however large docs is.
     """
     d = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     d = d.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    seen = d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    langs = sorted(r.lang for r in seen)
-    if not langs:
+    seen = d.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()  # a row for each language
+    if not seen:
         return MaskFilter([], "und", np.zeros((1, 1), U64), np.zeros(0))
-    number = F.create_map(*[x for i, k in enumerate(langs) for x in (F.lit(k), F.lit(i))])
-    share = F.create_map(*[x for r in seen for x in (F.lit(r.lang), F.lit(int(2**31 * min(1.0, docs_per_language / r["count"]))))])
-    drawn = F.abs(F.xxhash64(F.lit("lid"), "key") % F.lit(2**31)) <= share[F.col("lang")]
-    chosen = d.where(drawn).select(number[F.col("lang")].cast("int").alias("lang_no"), "text")
-    counts = chosen.mapInArrow(_gram_counts, "lang_no int, gram long, n long").groupBy("lang_no", "gram").agg(F.sum("n").alias("n"))
-    counts = counts.where("n >= 3").withColumn("rate", F.col("n") / F.sum("n").over(Window.partitionBy("lang_no")))
-    counts = counts.withColumn("top", F.max("rate").over(Window.partitionBy("gram"))).where(F.col("rate") * 5 >= F.col("top"))
-    order = Window.partitionBy("lang_no").orderBy(F.desc("n"), "gram")
-    kept = counts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= grams_per_language).select("lang_no", "gram").toPandas()
-    return MaskFilter.build(langs, seen[0].lang, {int(i): g.to_numpy() for i, g in kept.groupby("lang_no").gram})
+    langs = sorted(r.lang for r in seen)
+    number = {k: i for i, k in enumerate(langs)}
+    plan = d.sparkSession.createDataFrame([(r.lang, number[r.lang], int(2**31 * min(1.0, docs_per_language / r["count"]))) for r in seen], "lang string, lang_no int, share long")
+    drawn = F.abs(F.xxhash64(F.lit("lid"), "key") % F.lit(2**31)) <= F.col("share")
+    chosen = d.join(plan, "lang").where(drawn).select("lang_no", "text")
+    counts = durable(chosen.mapInArrow(_gram_counts, "lang_no int, gram long, n long").groupBy("lang_no", "gram").agg(F.sum("n").alias("n")).where("n >= 3"))
+    counts = counts.join(counts.groupBy("lang_no").agg(F.sum("n").alias("all")), "lang_no").withColumn("rate", F.col("n") / F.col("all"))
+    counts = counts.join(counts.groupBy("gram").agg(F.max("rate").alias("top")), "gram").where(F.col("rate") * 5 >= F.col("top"))
+    counts = durable(counts.select("lang_no", "gram", "n"))
+    # one row for each language and count, not for each n-gram
+    ladder = counts.groupBy("lang_no", "n").agg(F.count(F.lit(1)).alias("grams"))
+    above = F.sum("grams").over(Window.partitionBy("lang_no").orderBy(F.desc("n")))
+    ladder = ladder.withColumn("room", F.lit(grams_per_language) - above + F.col("grams")).where("room > 0")
+    enough = (F.col("room") >= F.col("grams")) | (F.pmod(F.xxhash64("gram"), F.col("grams")) < F.col("room"))
+    kept = counts.join(ladder, ["lang_no", "n"]).where(enough).select("lang_no", "gram").toPandas()
+    return MaskFilter.build(langs, seen[0].lang, {int(i): np.sort(g.to_numpy()) for i, g in kept.groupby("lang_no").gram})
 
 
 PREDICTION = StructType([StructField("lang", StringType()), StructField("score", DoubleType()), StructField("hit_rate", DoubleType())])
@@ -176,6 +186,7 @@ def predictor(spark: SparkSession, model: MaskFilter):
                 size, hi = size + len(rows[hi] or ""), hi + 1
             out.append(shared.value.predict(rows[lo:hi]))
             lo = hi
+        tidy()
         return pd.DataFrame({"lang": [x for o in out for x in o[0]], "score": np.concatenate([o[1] for o in out] or [np.zeros(0)]), "hit_rate": np.concatenate([o[2] for o in out] or [np.zeros(0)])})
 
     return F.pandas_udf(run, PREDICTION).asNondeterministic()  # else the optimiser may run it twice
@@ -187,7 +198,8 @@ def identify(docs: DataFrame, model: MaskFilter, text: str = "text", out: str =
 
 
 def keep_identified(docs: DataFrame, model: MaskFilter, text: str = "text", min_hit_rate: float = MIN_HIT_RATE) -> DataFrame:
-    """Rows of docs whose language is known; goes: ``und``, and texts that share hardly any n-gram with a language."""
+    """Rows of docs whose language is known; goes: ``und``, and texts that share hardly any n-gram with a language. Without
+    a learnt language no row stays. All columns are kept, whatever their names."""
     name = free_name(docs, "__language")
     d = identify(docs, model, text, name)
     return d.where((F.col(f"{name}.lang") != "und") & (F.col(f"{name}.hit_rate") >= min_hit_rate)).select(*docs.columns)

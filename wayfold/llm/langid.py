@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import U64, durable, fold_of, free_name, mix64, read, text_slices, text_view, tidy
+from .common import BROADCAST_ROWS, U64, durable, fold_of, free_name, mix64, read, text_slices, text_view, tidy
 
 N = 4
 HASHES = 4
@@ -156,6 +156,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     langs = sorted(r.lang for r in seen)
     number = {k: i for i, k in enumerate(langs)}
     plan = d.sparkSession.createDataFrame([(r.lang, number[r.lang], int(2**31 * min(1.0, docs_per_language / r["count"]))) for r in seen], "lang string, lang_no int, share long")
+    plan = F.broadcast(plan) if len(seen) <= BROADCAST_ROWS else plan
     drawn = F.abs(F.xxhash64(F.lit("lid"), "key") % F.lit(2**31)) <= F.col("share")
     chosen = d.join(plan, "lang").where(drawn).select("lang_no", "text")
     counts = durable(chosen.mapInArrow(_gram_counts, "lang_no int, gram long, n long").groupBy("lang_no", "gram").agg(F.sum("n").alias("n")).where("n >= 3"))

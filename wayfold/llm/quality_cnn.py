@@ -2,6 +2,9 @@
 
 Bytes are embedded; filters of eight bytes slide over the whole text by four; each overlapping chunk is max-pooled
 over its positions; the means and maxima of the chunks' values combine into one probability.
+
+Defined results: null and empty texts are one chunk of zeros and have its score; repeated rows get equal scores; ties at
+the threshold count as 1; an empty table gives no rows, and without labelled rows every score is 0.5.
 """
 
 from __future__ import annotations
@@ -13,15 +16,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold_of, read, text_slices, text_view
+from .common import bounded_sample, durable, fold_of, read, text_slices, text_view, tidy
 
 STRIDE = 4  # filters cover 2 * STRIDE bytes
 DIM = 8
 FILTERS = 24
 CHUNK, HOP = 64, 56  # positions: 256 bytes, of which 32 are shared with the next chunk
-#: Bounds of the training sample: labelled rows, and bytes of a text that may be drawn.
+#: Bounds of the training sample, as expected values: labelled rows, and bytes of all their texts (whole ones).
 SAMPLE_ROWS = 3000
-SAMPLE_TEXT_BYTES = 1 << 16
+SAMPLE_BYTES = 12 << 20
+#: Bytes of texts that one training step takes in (one text at least).
+STEP_BYTES = 1 << 18
 EPOCHS = 8
 THRESHOLD = 0.3
 
@@ -91,8 +96,11 @@ class ByteConv:
         self.c[:] = np.log(prior / (1 - prior))
         for epoch in range(epochs):
             order = r.permutation(len(texts))
-            for lo in range(0, len(order), batch):
-                pick = order[lo : lo + batch]
+            size = np.cumsum([len(texts[i]) for i in order])
+            hi = 0
+            while hi < len(order):
+                lo, hi = hi, max(hi + 1, min(hi + batch, int(np.searchsorted(size, (size[hi - 1] if hi else 0) + STEP_BYTES))))
+                pick = order[lo:hi]
                 off = np.concatenate([[0], np.cumsum([len(texts[i]) for i in pick])])
                 grid, spans, before = chunks_of(np.frombuffer(b"".join(texts[i] for i in pick), np.uint8), off)
                 y = self.positions(grid)
@@ -131,11 +139,17 @@ class ByteConv:
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", quality: str = "quality", sample_rows: int = SAMPLE_ROWS) -> ByteConv:
-    """Train on a hashed sample of labelled rows (see the bounds above). Without labels all scores are 0.5."""
+    """Train on a hashed sample of labelled ids (see the bounds above) with all chunks of their texts, however long. An id
+    counts once: its largest label, and of several texts the smallest. Without labels all scores are 0.5."""
     y = labels.select(F.col(doc_id).alias("doc_id"), F.col(quality).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
-    y = bounded_sample(y, "doc_id", sample_rows, y.count(), "cnn")
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_TEXT_BYTES))
-    rows = d.join(y, "doc_id").orderBy("doc_id", "text").limit(2 * sample_rows).toPandas()
+    y = y.groupBy("doc_id").agg(F.max("y").alias("y"))
+    total = y.count()
+    y = bounded_sample(y, "doc_id", 2 * sample_rows, total, "cnn")
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null")
+    rows = durable(d.join(F.broadcast(y), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")))
+    n = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
+    share = min(1.0, sample_rows / max(n.n, 1), SAMPLE_BYTES / max(n.b or 1, 1))
+    rows = bounded_sample(rows, "doc_id", int(2**20 * share), 2**20, "cnn step").toPandas().sort_values("doc_id")
     model = ByteConv.fresh()
     return model.train([t.encode() for t in rows.text], rows.y.to_numpy(np.float32)) if len(rows) else model
 
@@ -147,6 +161,7 @@ def scorer(spark: SparkSession, model: ByteConv):
     def run(texts: pa.Array) -> pa.Array:
         data, off = text_view(texts)
         parts = [shared.value.score(part, o) for _, _, part, o in text_slices(data, off)]
+        tidy()
         return pa.array(np.concatenate(parts or [np.zeros(0)]))
 
     return F.arrow_udf(run, "double").asNondeterministic()

@@ -103,12 +103,15 @@ def with_roles(pages: DataFrame, dedupe_from: int = 0) -> DataFrame:
 
     Of payloads of ``dedupe_from`` bytes or more the largest page_id's record is the response (rows that repeat that
     id too); a null html is an empty payload; rows with a null id are revisits of a row with an id, else responses.
+    Payloads never meet by digest: who is a revisit is settled on ids and digests, and joined to the pages by both.
     """
     d = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")).alias("payload"))
     d = d.withColumn("sha1", F.sha1("payload")).withColumn("size", F.octet_length("payload").cast("long"))
     last = d.where(F.col("size") >= dedupe_from).groupBy("sha1").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    d = d.join(last, "sha1", "left")
-    revisit = F.col("last").isNotNull() & ~F.coalesce(F.col("page_id") == F.col("last"), F.lit(False))
+    again = d.where(F.col("size") >= dedupe_from).select(F.col("page_id").alias("again_id"), F.col("sha1").alias("again_sha1")).distinct()
+    again = again.join(last, F.col("again_sha1") == F.col("sha1")).where(~F.coalesce(F.col("again_id") == F.col("last"), F.lit(False)) & F.col("last").isNotNull()).drop("sha1")
+    d = d.join(again, F.col("page_id").eqNullSafe(F.col("again_id")) & (F.col("sha1") == F.col("again_sha1")), "left")
+    revisit = F.col("last").isNotNull()
     return d.select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "size", "sha1", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("last")).alias("refers_to"))
 
 

@@ -49,8 +49,9 @@ def _slices(batches, columns):
             yield part, o, [b.column(c).slice(lo, hi - lo) for c in columns]
 
 
-def count_words(train: DataFrame, shards: int) -> tuple[int, int, dict[int, int]]:
-    """All tokens, distinct tokens, and the most frequent ones with their counts (HOT_WORDS at most)."""
+def count_words(train: DataFrame, shards: int) -> tuple[int, int, int, dict[int, int]]:
+    """All tokens, distinct tokens, texts, and the most frequent tokens with their counts (HOT_WORDS at most; they only
+    choose which words are dealt over several shards)."""
 
     def pack(batches):
         for part, o, _ in _slices(batches, []):
@@ -67,13 +68,15 @@ def count_words(train: DataFrame, shards: int) -> tuple[int, int, dict[int, int]
         key, back = np.unique(key, return_inverse=True)
         n = np.bincount(back, n).astype(np.int64)
         top = np.argsort(-n, kind="stable")[:64]
+        top = np.union1d(top, np.flatnonzero(key == END))  # the number of texts, however rare
         rows = [(n.sum(), len(key), None, None), *((None, None, k, c) for k, c in zip(key[top].view(np.int64), n[top]))]
         return pa.table([pa.array([None if v is None else int(v) for v in c], pa.int64()) for c in zip(*rows)], names=["total", "distinct", "key", "n"])
 
     t = durable(train.select("text").mapInArrow(pack, "shard int, keys binary, counts binary").groupBy("shard").applyInArrow(add, "total long, distinct long, key long, n long"))
     whole = t.agg(F.sum("total").alias("n"), F.sum("distinct").alias("v")).first()
     hot = t.where("key is not null").orderBy(F.desc("n"), "key").limit(HOT_WORDS).collect()
-    return whole.n or 0, whole.v or 0, {r.key & (2**64 - 1): r.n for r in hot}
+    texts = t.where(F.col("key") == int(END)).agg(F.sum("n")).first()[0] or 0
+    return whole.n or 0, whole.v or 0, texts, {r.key & (2**64 - 1): r.n for r in hot}
 
 
 def score(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str = "text", mu: float = MU, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -85,13 +88,12 @@ def score(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str = "text",
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(6, -(-size // shard_bytes))
-    total, distinct, counts = count_words(d.where(~F.col("held")), shards)
+    total, distinct, starts, counts = count_words(d.where(~F.col("held")), shards)
     z = total + 0.5 * (distinct + 1)
     hot = {k: n for k, n in counts.items() if n * 8 * shards > total}
     hot_keys = np.array(sorted(hot), U64)
     hot_counts = np.array([hot[int(k)] for k in hot_keys], np.int64)
     hot_parts = np.minimum(shards, -(-hot_counts * 8 * shards // max(total, 1))).astype(U64)
-    starts = counts.get(int(END), 0)
 
     def hot_at(key: np.ndarray) -> np.ndarray:
         """Place in hot_keys, or -1."""

@@ -28,7 +28,7 @@ def db():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, db, name):
     assert rows(QUERIES[name](spark, DATA).toPandas()) == rows(db.sql(SQL[name]).df())
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .scalars import lonlat_to_local
+
 
 def _pairs(points: Column, f) -> Column:
     n = F.size(points)
@@ -20,6 +22,17 @@ def length_3d(points: Column) -> Column:
     return _total(_pairs(points, d))
 
 
+def localised(points: Column, lon0: float, lat0: float, elevation: Column) -> Column:
+    """A line or ring of degrees (longitude in x, latitude in z) in local metres at an elevation."""
+    local = lambda p: lonlat_to_local(p.x, p.z, lon0, lat0, elevation)
+    return F.transform(points, lambda p: F.struct(*[local(p)[c].alias(c) for c in "xyz"]))
+
+
+def localised_parts(parts: Column, lon0: float, lat0: float, elevation: Column) -> Column:
+    """localised for the parts of a geometry."""
+    return F.transform(parts, lambda part: localised(part, lon0, lat0, elevation))
+
+
 def ring_area(ring: Column) -> Column:
     """Signed area of a closed ring."""
     return _total(_pairs(ring, lambda a, b: a.x * b.z - b.x * a.z)) / 2
@@ -41,6 +54,17 @@ def inside(x: Column, z: Column, ring: Column) -> Column:
     return F.aggregate(F.zip_with(ring, before, crosses), F.lit(False), lambda a, c: a != c)
 
 
+def inside_rings(x: Column, z: Column, rings: Column) -> Column:
+    """Even-odd rule over all rings of a polygon: a hole's inside is outside."""
+    return F.aggregate(rings, F.lit(False), lambda a, r: a != inside(x, z, r))
+
+
+def largest_ring(rings: Column) -> Column:
+    """The ring with the largest area, of equal ones the first."""
+    sized = F.transform(rings, lambda r, i: F.struct((-F.abs(ring_area(r))).alias("a"), i.alias("i"), r.alias("r")))
+    return F.element_at(F.array_sort(sized), 1)["r"]
+
+
 def boundary_distance(x: Column, z: Column, ring: Column) -> Column:
     def d(a, b):
         dx, dz = b.x - a.x, b.z - a.z
@@ -107,18 +131,34 @@ def envelope(ring: Column, height: float) -> Column:
 GRID = 32  # candidates a side
 
 
-def interior_point(ring: Column) -> Column:
-    """struct(x, z) inside a ring: its centroid if that is inside, else, of the centres of a grid over its bounds, the
-    inner one farthest from the boundary (ties: smaller x, then z), else the middle of the line. Only rings whose
-    centroid is outside build the grid."""
-    c = ring_centroid(ring)
+def representative_point(kind: Column, points: Column, rings: Column) -> Column:
+    """struct(x, z) that stands for a geometry: a point itself, the middle of a line (points), a polygon's inner point."""
+    first = F.element_at(points, 1)
+    return F.when(kind == "Point", F.struct(first.x.alias("x"), first.z.alias("z"))).when(kind == "PolyLine", midpoint(points)).when(kind == "Polygon", _bound(largest_ring(rings), lambda r: interior_point(r, rings)))
+
+
+def _bound(value: Column, f) -> Column:
+    """f of a value that is computed once, not wherever f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def interior_point(ring: Column, rings: Column | None = None) -> Column:
+    """struct(x, z) inside a ring (or, given all rings of a polygon of which it is the largest, inside the polygon): its
+    centroid if that is inside, else, of the centres of a grid over its bounds, the inner one farthest from the boundary
+    (ties: smaller x, then z), else the middle of the line. Only rings whose centroid is outside build the grid."""
+    every = F.array(ring) if rings is None else rings
     xs, zs = F.transform(ring, lambda p: p.x), F.transform(ring, lambda p: p.z)
-    span = [(F.array_min(v), F.array_max(v)) for v in (xs, zs)]
-    cells = F.sequence(F.lit(0), F.lit(GRID * GRID - 1))
-    at = lambda n, k: span[k][0] + (n + 0.5) * (span[k][1] - span[k][0]) / GRID
-    point = F.transform(cells, lambda n: F.struct(at(n % GRID, 0).alias("x"), at(F.floor(n / GRID), 1).alias("z")))
-    inner = F.filter(point, lambda p: inside(p.x, p.z, ring))
-    ranked = F.transform(inner, lambda p: F.struct((-boundary_distance(p.x, p.z, ring)).alias("d"), p.x.alias("x"), p.z.alias("z")))
-    best = F.array_min(ranked)
-    grid = F.when(best.isNotNull(), F.struct(best.x.alias("x"), best.z.alias("z"))).otherwise(midpoint(ring))
-    return F.when(inside(c.x, c.z, ring), c).otherwise(grid)
+    box = F.struct(F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(zs).alias("z0"), F.array_max(zs).alias("z1"))
+
+    def best(s: Column) -> Column:
+        b = s["box"]
+        cells = F.sequence(F.lit(0), F.lit(GRID * GRID - 1))
+        at = lambda n, k: b[f"{k}0"] + (n + 0.5) * (b[f"{k}1"] - b[f"{k}0"]) / GRID
+        point = F.transform(cells, lambda n: F.struct(at(n % GRID, "x").alias("x"), at(F.floor(n / GRID), "z").alias("z")))
+        inner = F.filter(point, lambda p: inside_rings(p.x, p.z, s["rings"]))
+        nearest = lambda p: F.array_min(F.transform(s["rings"], lambda r: boundary_distance(p.x, p.z, r)))
+        ranked = F.transform(inner, lambda p: F.struct((-nearest(p)).alias("d"), p.x.alias("x"), p.z.alias("z")))
+        grid = _bound(F.array_min(ranked), lambda m: F.when(m.isNotNull(), F.struct(m.x.alias("x"), m.z.alias("z"))).otherwise(midpoint(s["ring"])))
+        return F.when(inside_rings(s["c"].x, s["c"].z, s["rings"]), s["c"]).otherwise(grid)
+
+    return _bound(F.struct(ring.alias("ring"), every.alias("rings"), ring_centroid(ring).alias("c"), box.alias("box")), best)

@@ -124,6 +124,11 @@ def category_code(raw: Column) -> Column:
     return F.upper(F.trim(F.coalesce(raw.cast("string"), F.lit(""))))
 
 
+def sorted_properties(properties: Column) -> Column:
+    """A map with its keys in order, so that equal properties print alike."""
+    return F.map_from_entries(F.array_sort(F.map_entries(properties)))
+
+
 def stacked_elevation(y: Column, gap: float = 30.0) -> Column:
     """Display height of floors drawn apart."""
     return y * (gap / FLOOR_HEIGHT_M)

@@ -11,10 +11,14 @@ PROFILES = ["shortest", "accessible", "avoid-stairs", "prefer-elevator", "fewest
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut a loop's lineage in the shared checkpoint folder that the session names."""
+    """Cut a loop's lineage in the shared checkpoint folder that the session names. Only a local session gets a folder of
+    its own where none is named."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wayfold-loop-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="wayfold-loop-"))
     return df.checkpoint(eager=True)
 
 

@@ -69,6 +69,15 @@ def warnings(walk: DataFrame, requests: DataFrame, unknowns: str = "unknowns") -
     return fields.groupBy("request_id").agg(F.array_sort(F.collect_set("field")).alias("fields"))
 
 
+def access_unverified(requests: DataFrame, places: DataFrame) -> DataFrame:
+    """request_id, place_ids (start first): ends of accessible routes whose way to the network isn't known to be
+    accessible. places: id, accessibility."""
+    unsure = places.where(F.col("accessibility") == "unknown").select("id")
+    ends = F.posexplode(F.array("start_id", "destination_id")).alias("side", "id")
+    d = requests.where("profile = 'accessible'").select("request_id", ends).join(unsure, "id", "left_semi")
+    return d.groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("side", "id"))), lambda s: s["id"]).alias("place_ids"))
+
+
 def route_floors(walk: DataFrame) -> DataFrame:
     """request_id, floors: those a route touches, from the lowest."""
     f = walk.select("request_id", F.explode(F.array("floor_from", "floor_to")).alias("floor"))

@@ -55,6 +55,13 @@ def filter_options(markers: DataFrame, hidden: list[str], gates: DataFrame) -> D
     return shown.unionByName(gates.agg(F.count(F.lit(1)).alias("n")).select(F.lit("gate").alias("code"), "n"))
 
 
+def routable_places(markers: DataFrame, places: DataFrame) -> DataFrame:
+    """id, place_id: the routable facility place with a marker's source id and floor (of several the smallest id).
+    markers: id, source_id, floor_id; places: id, source_id, floor_id, routable."""
+    p = places.where("routable").groupBy("source_id", "floor_id").agg(F.min("id").alias("place_id"))
+    return markers.join(p, ["source_id", "floor_id"]).select("id", "place_id")
+
+
 def promoted(markers: DataFrame) -> DataFrame:
     """Public markers of codes with a place category, as places: id, name, name_kind, category, code, area, floor_id, x,
     y, z, node_id, distance_m, confidence. Without a name of their own they are numbered in (area, floor, code) by id;

@@ -8,14 +8,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def field_profile(df: DataFrame, fields: list[str], top: int = 12) -> DataFrame:
-    """field, rows, nulls, null_ppm, distinct_values, value, n: a row for each of a field's most frequent values."""
+def field_profile(df: DataFrame, fields: list[str], top: int = 12, small: int = 50) -> DataFrame:
+    """profile of some fields of a table."""
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields]))
-    counts = df.select(pairs.alias("p")).groupBy("p.field", "p.value").agg(F.count(F.lit(1)).alias("n"))
+    return profile(df.select(pairs.alias("p")).select("p.field", "p.value"), top, small)
+
+
+def layer_profile(features: DataFrame, layers: list[str], fields: list[str]) -> DataFrame:
+    """layer and the profile of its fields, for the layers that are shown."""
+    shown = features.where(F.col("layer").isin(layers))
+    named = lambda f: F.struct(F.concat("layer", F.lit("."), F.lit(f)).alias("field"), F.col(f).cast("string").alias("value"))
+    out = profile(shown.select(F.explode(F.array(*map(named, fields))).alias("p")).select("p.field", "p.value"))
+    return out.select(F.substring_index("field", ".", 1).alias("layer"), F.substring_index("field", ".", -1).alias("field"), *out.columns[1:])
+
+
+def profile(pairs: DataFrame, top: int = 12, small: int = 50) -> DataFrame:
+    """field, rows, nulls, null_ppm, distinct_values, value, n of pairs (field, value): a row for each value of fields with
+    ``small`` or fewer values, for each of the ``top`` most frequent ones of others, and one with a null value for fields
+    of nulls only."""
+    counts = pairs.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
     whole = counts.groupBy("field").agg(F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("nulls"), F.count("value").alias("distinct_values"))
     w = Window.partitionBy("field").orderBy(F.desc("n"), "value")
-    best = counts.where("value is not null").withColumn("place", F.row_number().over(w)).where(F.col("place") <= top)
-    out = best.join(whole, "field").withColumn("null_ppm", F.floor(F.col("nulls") * 1000000 / F.col("rows") + 0.5).cast("long"))
+    best = counts.where("value is not null").withColumn("place", F.row_number().over(w))
+    best = best.join(whole.select("field", "distinct_values"), "field").where((F.col("place") <= top) | (F.col("distinct_values") <= small)).drop("distinct_values")
+    out = whole.join(best, "field", "left").withColumn("null_ppm", F.floor(F.col("nulls") * 1000000 / F.col("rows") + 0.5).cast("long"))
     return out.select("field", "rows", "nulls", "null_ppm", "distinct_values", "value", "n")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import durable
+from .guidance import route_lines
 
 
 #: Why nothing was found, by profile.
@@ -48,39 +49,99 @@ def outcomes(asked: DataFrame, found: DataFrame) -> DataFrame:
     return d.withColumns({"reason": F.when(lost, why).otherwise(F.col("reason")), "status": F.when(lost, "unreachable").otherwise(F.coalesce("status", F.lit("ok"))), "distance_m": metres})
 
 
-def shortest(arcs: DataFrame, sources: DataFrame, max_rounds: int = 400) -> DataFrame:
-    """profile, source, node, cost, distance_m, pred, arc: least costs from each (profile, source) to all nodes reached.
+def shortest(arcs: DataFrame, sources: DataFrame, max_rounds: int = 5000, goals: DataFrame | None = None) -> DataFrame:
+    """profile, source, node, cost, distance_m, pred, arc: least costs from each (profile, source) to the nodes reached.
 
     Each round relaxes the arcs of the rows that improved last and folds them in with one minimum by key; ties go to
-    the smaller predecessor and arc. arcs: profile, from_id, to_id, id, cost, distance_m.
+    the smaller predecessor and arc. arcs: profile, from_id, to_id, id, cost, distance_m. With goals (profile, source,
+    node) a search goes no further than its dearest goal, once it has reached all of them: rows beyond are left out.
+    A search that isn't done after ``max_rounds`` (arcs of a way) is an error, never a partial result.
     """
     a = durable(arcs.repartition("profile", "from_id"))
     state = sources.select("profile", F.col("node_id").alias("source"), F.col("node_id").alias("node")).distinct()
     none = F.lit(None).cast("string")
     state = durable(state.select("*", F.lit(0.0).alias("cost"), F.lit(0.0).alias("distance_m"), none.alias("pred"), none.alias("arc"), F.lit(True).alias("new")))
+    goals = durable(goals.select("profile", "source", "node").distinct()) if goals is not None else None
     for _ in range(max_rounds):
-        front = state.where("new").select("profile", "source", F.col("node").alias("from_id"), F.col("cost").alias("so_far"), F.col("distance_m").alias("walked"))
+        front = state.where("new")
+        if goals is not None:
+            far = goals.join(state.select("profile", "source", "node", "cost"), ["profile", "source", "node"], "left")
+            far = far.groupBy("profile", "source").agg(F.max(F.coalesce("cost", F.lit(float("inf")))).alias("dearest"))
+            front = front.join(far, ["profile", "source"]).where("cost < dearest")
+        front = front.select("profile", "source", F.col("node").alias("from_id"), F.col("cost").alias("so_far"), F.col("distance_m").alias("walked"))
         step = front.join(a, ["profile", "from_id"]).select("profile", "source", F.col("to_id").alias("node"), (F.col("so_far") + F.col("cost")).alias("cost"), (F.col("walked") + F.col("distance_m")).alias("distance_m"), F.col("from_id").alias("pred"), F.col("id").alias("arc"), F.lit(True).alias("new"))
         both = state.withColumn("new", F.lit(False)).unionByName(step)
         best = F.min(F.struct("cost", "new", "pred", "arc", "distance_m")).alias("b")  # at equal cost the known row stays
         state = durable(both.groupBy("profile", "source", "node").agg(best).select("profile", "source", "node", "b.cost", "b.distance_m", "b.pred", "b.arc", "b.new"))
         if not state.where("new").limit(1).count():
             return state.drop("new")
-    raise RuntimeError("shortest paths did not settle")
+    raise RuntimeError(f"shortest paths did not settle in {max_rounds} rounds")
 
 
-def reconstruct(asked: DataFrame, state: DataFrame, max_rounds: int = 400) -> DataFrame:
-    """asked (profile, source, node) with node_ids, edge_ids, cost, distance_m; rows that nothing reaches have nulls."""
+def reconstruct(asked: DataFrame, state: DataFrame, max_doublings: int = 40) -> DataFrame:
+    """asked (profile, source, node) with node_ids, edge_ids, cost, distance_m; rows that nothing reaches have nulls.
+
+    Pointers to predecessors double their reach from round to round, and so does what of each way is known, so that a
+    way of n arcs takes log2(n) joins. A way that doesn't end at its source is an error.
+    """
     keys = ["profile", "source", "node"]
     asked = asked.select(*keys).distinct()
-    none = F.array().cast("array<string>")
-    walk = durable(asked.join(state, keys).select(*keys, F.col("node").alias("at"), F.array("node").alias("node_ids"), none.alias("edge_ids")))
-    back = state.select("profile", "source", F.col("node").alias("at"), "pred", "arc")
-    for _ in range(max_rounds):
-        open_ = walk.where("at != source")
-        if not open_.limit(1).count():
+    base = F.regexp_replace("arc", ":reverse$", "")
+    jump = durable(state.select("profile", "source", F.col("node").alias("at"), F.col("pred").alias("up"), F.lit(1).alias("steps")))
+    walk = durable(asked.join(state.select(*keys), keys).select(*keys, F.col("node").alias("at"), F.lit(0).alias("back")))
+    for _ in range(max_doublings):
+        ahead = walk.join(jump.where("up is not null"), ["profile", "source", "at"]).select(*keys, F.col("up").alias("at"), (F.col("back") + F.col("steps")).alias("back"))
+        walk = durable(walk.unionByName(ahead))
+        above = jump.select("profile", "source", F.col("at").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("steps2"))
+        jump = durable(jump.where("up is not null").join(above, ["profile", "source", "up"]).select("profile", "source", "at", F.col("up2").alias("up"), (F.col("steps") + F.col("steps2")).alias("steps")).where("up is not null"))
+        if not jump.limit(1).count():
             break
-        more = open_.join(back, ["profile", "source", "at"])
-        more = more.select(*keys, F.col("pred").alias("at"), F.concat(F.array("pred"), "node_ids").alias("node_ids"), F.concat(F.array(F.regexp_replace("arc", ":reverse$", "")), "edge_ids").alias("edge_ids"))
-        walk = durable(walk.where("at = source").unionByName(more))
-    return asked.join(walk.drop("at"), keys, "left").join(state.select(*keys, "cost", "distance_m"), keys, "left")
+    else:
+        raise RuntimeError("a way has no end")
+    on = walk.join(state.select("profile", "source", F.col("node").alias("at"), base.alias("edge")), ["profile", "source", "at"])
+    order = F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("k"), "at", "edge")))
+    paths = on.groupBy(*keys).agg(order.alias("s"))
+    paths = paths.select(*keys, F.transform("s", lambda x: x["at"]).alias("node_ids"), F.filter(F.transform("s", lambda x: x["edge"]), lambda e: e.isNotNull()).alias("edge_ids"))
+    return asked.join(paths, keys, "left").join(state.select(*keys, "cost", "distance_m"), keys, "left")
+
+
+def plans(requests: DataFrame, places: DataFrame, arcs: DataFrame, bounded: bool = False) -> DataFrame:
+    """One row a request: request_id, profile, status, reason, node_ids, edge_ids, network_m, access_m, total_m.
+
+    places: id, routable, node_id, distance_m (of the way to the network), and what classify takes besides. One search
+    a (profile, start node), however many requests share it; total_m is the network's part and both ways to it, to the
+    millimetre, and 0 where there is nowhere to go.
+    """
+    asked = durable(classify(requests, places, bounded))
+    goals = asked.where("status is null").select("profile", F.col("start_node").alias("source"), F.col("destination_node").alias("node")).distinct()
+    state = shortest(arcs, goals.select("profile", F.col("source").alias("node_id")), goals=goals)
+    found = reconstruct(goals, state).select("profile", F.col("source").alias("start_node"), F.col("node").alias("destination_node"), "node_ids", "edge_ids", "distance_m")
+    out = outcomes(asked, found).join(found.drop("distance_m"), ["profile", "start_node", "destination_node"], "left")
+    way = lambda side: places.select(F.col("id").alias(f"{side}_id"), F.col("distance_m").alias(f"{side}_m"))
+    out = out.join(way("start"), "start_id", "left").join(way("destination"), "destination_id", "left")
+    there = F.col("reason") == "already-there"
+    mm = lambda c: F.floor(c * 1000 + 0.5) / 1000
+    out = out.withColumn("access_m", F.when(F.coalesce(there, F.lit(False)), 0.0).when(F.col("status") == "ok", mm(F.col("start_m") + F.col("destination_m"))))
+    out = out.withColumn("node_ids", F.when(F.coalesce(there, F.lit(False)), F.array("start_node")).otherwise(F.col("node_ids"))).withColumn("edge_ids", F.when(F.coalesce(there, F.lit(False)), F.array().cast("array<string>")).otherwise(F.col("edge_ids")))
+    return out.select("request_id", "profile", "status", "reason", "start_id", "destination_id", "node_ids", "edge_ids", F.col("distance_m").alias("network_m"), "access_m", mm(F.col("distance_m") + F.col("access_m")).alias("total_m"))
+
+
+def legs(planned: DataFrame, walk: DataFrame, places: DataFrame, nodes: DataFrame) -> DataFrame:
+    """request_id, start_access, network, destination_access: the three lines of found routes. walk: request_id, pos and
+    the ends of its arcs (x0 to z1); places and nodes have x, y, z."""
+    at = lambda t, side: t.select(F.col("id").alias(side), F.struct("x", "y", "z").alias(f"{side}_at"))
+    ok = planned.where("status = 'ok' and reason is null")
+    ends = ok.select("request_id", "start_id", "destination_id", F.element_at("node_ids", 1).alias("first"), F.element_at("node_ids", -1).alias("last"))
+    for t, side in ((places, "start_id"), (places, "destination_id"), (nodes, "first"), (nodes, "last")):
+        ends = ends.join(at(t, side), side)
+    lines = ends.join(route_lines(walk).withColumnRenamed("points", "network"), "request_id", "left")
+    return lines.select("request_id", F.array("start_id_at", "first_at").alias("start_access"), "network", F.array("last_at", "destination_id_at").alias("destination_access"))
+
+
+def regressions(planned: DataFrame, golden: DataFrame, tolerance_m: float = 0.001) -> DataFrame:
+    """request_id, problem (missing, status, distance, path) of the golden routes (request_id, status, total_m, edge_ids)
+    that plans don't reproduce."""
+    g = golden.select("request_id", F.col("status").alias("g_status"), F.col("total_m").alias("g_total"), F.col("edge_ids").alias("g_edges"))
+    d = g.join(planned.withColumn("there", F.lit(True)), "request_id", "left")
+    problem = F.when(F.col("there").isNull(), "missing").when(~F.col("status").eqNullSafe(F.col("g_status")), "status").when(F.abs(F.col("total_m") - F.col("g_total")) > tolerance_m, "distance").when(~F.col("edge_ids").eqNullSafe(F.col("g_edges")), "path")
+    return d.select("request_id", problem.alias("problem")).where("problem is not null")

@@ -261,7 +261,7 @@ def place_search(s: SparkSession, d: str) -> DataFrame:
 @query("""with v as (select 'event_type' as field, case when event_id % 10 = 0 then null else event_type end as value from events union all select 'user_id', cast(user_id as varchar) from events),
 c as (select field, value, count(*) as n from v group by all), w as (select field, sum(n)::bigint as rows, coalesce(sum(n) filter (value is null), 0)::bigint as nulls, count(value) as distinct_values from c group by field),
 b as (select *, row_number() over (partition by field order by n desc, value) as k from c where value is not null)
-select b.field, rows, nulls, cast(floor(nulls*1000000/rows + 0.5) as bigint) as null_ppm, distinct_values, value, n from b join w using (field) where k <= 12""")
+select w.field, rows, nulls, cast(floor(nulls*1000000/rows + 0.5) as bigint) as null_ppm, distinct_values, value, n from w left join b using (field) where k is null or k <= 12 or distinct_values <= 50""")
 def field_profile(s: SparkSession, d: str) -> DataFrame:
     e = table(s, d, "events").select(F.when(F.col("event_id") % 10 != 0, F.col("event_type")).alias("event_type"), "user_id")
     return quality.field_profile(e, ["event_type", "user_id"])

@@ -81,12 +81,57 @@ def features(spark: SparkSession, folder: str) -> DataFrame:
     return d.withColumn("problem", F.when(F.col("attributes").isNull(), "skipped").when(F.col("parts").isNull(), "malformed"))
 
 
+# Fixed values of the format: geometry types by their code.
+SHAPE_NAMES = {0: "Null", 1: "Point", 3: "PolyLine", 5: "Polygon", 8: "MultiPoint", 11: "PointZ", 13: "PolyLineZ", 15: "PolygonZ", 18: "MultiPointZ", 21: "PointM", 23: "PolyLineM", 25: "PolygonM", 28: "MultiPointM", 31: "MultiPatch"}
+FACTS = "geometry_type string, bounds array<double>, rows long, fields array<struct<name: string, type: string, width: int, decimals: int>>, encoding string, crs string, warnings array<string>"
+
+
+def facts(ending: str, content: bytes) -> dict:
+    """What one file of a group says of itself; damage is a warning."""
+    out = dict.fromkeys(("geometry_type", "bounds", "rows", "fields", "encoding", "crs")) | {"warnings": []}
+    if ending == "shp":
+        if len(content) < 100 or struct.unpack_from(">i", content)[0] != 9994:
+            out["warnings"].append("shp: no header")
+        else:
+            code = struct.unpack_from("<i", content, 32)[0]
+            out |= {"geometry_type": SHAPE_NAMES.get(code, f"unknown-{code}"), "bounds": list(struct.unpack_from("<4d", content, 36))}
+    elif ending == "dbf":
+        if len(content) < 33:
+            out["warnings"].append("dbf: no header")
+        else:
+            rows, head, size = struct.unpack_from("<IHH", content, 4)
+            places = range(32, min(head, len(content)) - 31, 32)
+            ends = next((i for i in places if content[i] == 0x0D), head)
+            out["rows"] = rows
+            out["fields"] = [{"name": content[i : i + 11].split(b"\0")[0].decode("latin-1").strip(), "type": chr(content[i + 11]), "width": content[i + 16], "decimals": content[i + 17]} for i in places if i < ends]
+            if size == 0:
+                out["warnings"].append("dbf: rows have no width")
+            if head + rows * size > len(content):
+                out["warnings"].append("dbf: truncated")
+    elif ending == "cpg":
+        out["encoding"] = content.decode("utf-8", "replace").strip() or "empty"
+    elif ending == "prj":
+        out["crs"] = content.decode("utf-8", "replace").strip()
+    return out
+
+
 def inspect(spark: SparkSession, folder: str) -> DataFrame:
-    """base, present and missing companions, whether the group can be read."""
-    d = _files(spark, folder, "*").select(F.regexp_replace("path", r"\.[^./]+$", "").alias("base"), F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("ending"))
-    d = d.groupBy("base").agg(F.array_sort(F.collect_set("ending")).alias("present"))
+    """One row a group of files: base, present and missing companions, feasible (shape and attributes can be read), and
+    what the headers say: geometry_type, bounds, rows, fields, encoding, crs, warnings."""
+    named = lambda d: d.withColumn("base", F.regexp_replace("path", r"\.[^./]+$", "")).withColumn("ending", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)))
+    field = pa.struct([("name", pa.string()), ("type", pa.string()), ("width", pa.int32()), ("decimals", pa.int32())])
+    kinds = [("base", pa.string()), ("ending", pa.string()), ("geometry_type", pa.string()), ("bounds", pa.list_(pa.float64())), ("rows", pa.int64()), ("fields", pa.list_(field)), ("encoding", pa.string()), ("crs", pa.string()), ("warnings", pa.list_(pa.string()))]
+
+    def run(batches):
+        for b in batches:
+            rows = [{"base": base, "ending": e} | facts(e, c.as_py()) for base, e, c in zip(b.column("base").to_pylist(), b.column("ending").to_pylist(), b.column("content"))]
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(kinds))
+
+    d = named(_files(spark, folder, "*").select("path", "content")).select("base", "ending", "content").mapInArrow(run, f"base string, ending string, {FACTS}")
+    known = [F.first(c, ignorenulls=True).alias(c) for c in ("geometry_type", "bounds", "rows", "fields", "encoding", "crs")]
+    d = d.groupBy("base").agg(F.array_sort(F.collect_set("ending")).alias("present"), *known, F.array_sort(F.flatten(F.collect_list("warnings"))).alias("warnings"))
     missing = F.array_except(F.array(*map(F.lit, REQUIRED)), "present")
-    return d.withColumn("missing", missing).withColumn("feasible", F.arrays_overlap("present", F.array(F.lit("shp"))) & ~F.array_contains("missing", "dbf"))
+    return d.withColumn("missing", missing).withColumn("feasible", F.array_contains("present", "shp") & ~F.array_contains("missing", "dbf"))
 
 
 def checksums(spark: SparkSession, folder: str) -> DataFrame:

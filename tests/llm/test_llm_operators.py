@@ -153,17 +153,22 @@ def test_lm(docs, spark):
     got = lm.score(docs, held, shard_bytes=20000).toPandas()
     low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     seq = [(i, i is not None and i % 3 == 0, [*WORD.findall((t or "").translate(low)), None]) for i, t, *_ in DOCS]
-    c, b = Counter(), Counter()
+    c, b, t = Counter(), Counter(), Counter()
     for _, h, w in seq:
         if not h:
             c.update(w)
             b.update(zip([0, *w], w))
+            t.update(zip([0, 0, *w], [0, *w], w))
     n, v = sum(c.values()), len(c)
-    z, ctx = n + 0.5 * (v + 1), Counter(c) | Counter({0: c[None]})
+    z, follow = n + 0.5 * (v + 1), Counter(c) | Counter({0: c[None]})
+    k = lambda h: lm.TAU / max(follow[h], n / lm.COMMON)
     want = []
     for i, h, w in seq:
         base = sum(math.log10((c[x] + 0.5) / z) for x in w)
-        s = sum(math.log10((b[a, x] + lm.MU * (c[x] + 0.5) / z) / (ctx[a] + lm.MU)) for a, x in zip([0, *w], w))
+        s, two = 0.0, [0, 0, *w]
+        for g, x, y in zip(two, two[1:], w):
+            before = c[None] if x == 0 else b[g, x]
+            s += math.log10((t[g, x, y] + k(x) * b[x, y] + lm.NU * (c[y] + 0.5) / z) / (before + k(x) * follow[x] + lm.NU))
         want.append((str(i), h, len(w), sum(c[x] > 0 for x in w), n, round(base, 6), s))
     mine = sorted((str(None if r.doc_id != r.doc_id else int(r.doc_id)), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), r.score) for r in got.itertuples())
     for a, w in zip(mine, sorted(want)):

@@ -2,8 +2,9 @@
 
 Level 1 holds the words of a shard (sorted keys, counts) and monotone pointers into level 2. Level 2 holds, for each
 word, the contexts it was seen in, sorted inside the word's pointer range and made monotone over all words by
-the word's rank; next to it one byte with the quantised gain of the smoothed probability. A search takes a word's
-range and looks for the successor of a context relative to it.
+the word's rank; level 3 holds, for each pair, the contexts before it in the same way. Next to them stand quantised
+logarithms of the smoothed probability, one byte each. A search takes a parent's range and looks for the successor of
+a context relative to it.
 """
 
 from __future__ import annotations
@@ -110,28 +111,40 @@ class EliasFano:
 
 
 class Trie:
-    """words -> counts and context ranges; (word, context) -> quantised gain."""
+    """words -> counts and pair ranges; (word, context) -> two codes and a triple range; (pair, earlier context) -> code.
+
+    Codes are logarithms in steps of one byte: a pair's and a triple's gain over the level below, and a pair's weight as
+    the context of what follows it.
+    """
+
+    CODES = ("gain2", "norm2", "gain3")
 
     def __init__(self, levels: dict[str, np.ndarray]):
         ef = lambda k: EliasFano(*map(int, levels[k + ".meta"]), levels[k + ".low"], levels[k + ".high"], levels[k + ".zeros"])
-        self.words, self.pointers, self.contexts = ef("words"), ef("pointers"), ef("contexts")
-        self.counts, self.codes, self.scale = levels["counts"], levels["codes"], float(levels["scale"][0])
+        self.words, self.pointers, self.contexts, self.pointers3, self.contexts3 = map(ef, ("words", "pointers", "contexts", "pointers3", "contexts3"))
+        self.counts = levels["counts"]
+        self.codes = {k: (levels[k], *map(float, levels[k + ".scale"])) for k in self.CODES}
 
     @staticmethod
-    def levels(words: np.ndarray, counts: np.ndarray, ranks: np.ndarray, contexts: np.ndarray, gains: np.ndarray) -> dict[str, np.ndarray]:
-        """words: sorted 64-bit keys; ranks, contexts: sorted pairs of a word's rank and a 32-bit context key."""
-        scale = max(float(gains.max()), 1e-9) / 255 if len(gains) else 1.0
-        parts = {
-            "words": EliasFano.build(words >> ONE),
-            "pointers": EliasFano.build(np.searchsorted(ranks, np.arange(len(words) + 1)).astype(U64)),
-            "contexts": EliasFano.build((ranks.astype(U64) << U64(32)) | contexts.astype(U64)),
-        }
-        out = {f"{k}.{name}": a for k, ef in parts.items() for name, a in ef.arrays().items()}
-        return out | {"counts": counts.astype(np.int64), "codes": np.rint(gains / scale).astype(np.uint8), "scale": np.array([scale])}
+    def levels(words: np.ndarray, counts: np.ndarray, pairs: tuple, triples: tuple, **values: np.ndarray) -> dict[str, np.ndarray]:
+        """words: sorted 64-bit keys; pairs: sorted (word's rank, 32-bit context key); triples: sorted (pair's rank, 32-bit
+        context key); values: gain2 and norm2 of the pairs, gain3 of the triples."""
+        parts = {"words": EliasFano.build(words >> ONE)}
+        for suffix, (rank, context), above in (("", pairs, len(words)), ("3", triples, len(pairs[0]))):
+            parts["pointers" + suffix] = EliasFano.build(np.searchsorted(rank, np.arange(above + 1)).astype(U64))
+            parts["contexts" + suffix] = EliasFano.build((rank.astype(U64) << U64(32)) | context.astype(U64))
+        out = {f"{k}.{name}": a for k, ef in parts.items() for name, a in ef.arrays().items()} | {"counts": counts.astype(np.int64)}
+        for k in Trie.CODES:
+            v = values[k]
+            low, high = (float(v.min()), float(v.max())) if len(v) else (0.0, 0.0)
+            step = max(high - low, 1e-9) / 255
+            out |= {k: np.rint((v - low) / step).astype(np.uint8), k + ".scale": np.array([low, step])}
+        return out
 
     @classmethod
     def mapped(cls, levels: dict[str, np.ndarray]) -> Trie:
-        """Write the levels to one unnamed file (gone with its map) and open them as memory maps."""
+        """Write the levels to one unnamed file (gone with its map) and open them as memory maps. Only the task that
+        builds a shard reads it."""
         out = {}
         with tempfile.TemporaryFile() as f:
             spans = {}
@@ -147,15 +160,25 @@ class Trie:
     def word_rank(self, words: np.ndarray) -> np.ndarray:
         return self.words.find(words >> ONE)
 
-    def gain(self, rank: np.ndarray, context: np.ndarray) -> np.ndarray:
-        """log10 gain of the pair over its backed-off probability; 0 for pairs never seen."""
-        out = np.zeros(len(rank))
-        known = np.flatnonzero(rank >= 0)
-        if len(known):
-            r = rank[known]
-            each, back = np.unique(r, return_inverse=True)
-            lo, hi = self.pointers.get(each).astype(np.int64)[back], self.pointers.get(each + 1).astype(np.int64)[back]
-            at = self.contexts.find((r.astype(U64) << U64(32)) | context[known].astype(U64), lo, hi)
-            seen = at >= 0
-            out[known[seen]] = self.codes[at[seen]] * self.scale
+    @staticmethod
+    def _below(pointers: EliasFano, contexts: EliasFano, rank: np.ndarray, context: np.ndarray) -> np.ndarray:
+        """Rank of each context in the range of its parent, or -1 (also where the parent is)."""
+        out = np.full(len(rank), -1)
+        for lo in range(0, len(rank), 1 << 18):
+            known = lo + np.flatnonzero(rank[lo : lo + (1 << 18)] >= 0)
+            if len(known):
+                r = rank[known]
+                each, back = np.unique(r, return_inverse=True)
+                start, end = pointers.get(each).astype(np.int64)[back], pointers.get(each + 1).astype(np.int64)[back]
+                out[known] = contexts.find((r.astype(U64) << U64(32)) | context[known].astype(U64), start, end)
         return out
+
+    def pair(self, word: np.ndarray, context: np.ndarray) -> np.ndarray:
+        return self._below(self.pointers, self.contexts, word, context)
+
+    def triple(self, pair: np.ndarray, context: np.ndarray) -> np.ndarray:
+        return self._below(self.pointers3, self.contexts3, pair, context)
+
+    def value(self, name: str, at: np.ndarray) -> np.ndarray:
+        code, low, step = self.codes[name]
+        return low + code[at] * step

@@ -15,18 +15,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, durable, read
+from .common import bounded_sample, durable, read, tidy
 
 #: Training sample, vectors a cell aims at, cells at least (of big enough tables) and at most; bytes a vector's code has.
 SAMPLE = 16_384
+SAMPLE_PER_CELL = 16
 CELL_TARGET = 1000
 MIN_CELLS = 64
 MAX_CELLS = 4096
 SUBSPACES = 16
-#: Share of the sample's true neighbours that the visited cells hold, sample queries it is measured with, and
-#: candidates per visited block that are scored exactly, beside those within MARGIN quantisation errors of the k-th.
-COVER = 0.98
-COVER_QUERIES = 400
+#: Share of true neighbours that the visited cells hold, queries it is measured with (against all rows), and candidates
+#: per visited block that are scored exactly, beside those within MARGIN quantisation errors of the k-th.
+COVER = 0.94
+COVER_QUERIES = 256
 RERANK = 60
 MARGIN = 3.0
 #: Vectors and queries that one task step holds together; hot cells are dealt over several steps.
@@ -76,20 +77,6 @@ class Quantiser:
     def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
         return np.concatenate([(x[i : i + 4096] @ c.T * 2 - (c * c).sum(1)).argmax(1) for i in range(0, len(x), 4096)] or [np.zeros(0, np.int64)])
 
-    def probes_for(self, x: np.ndarray, k: int, cover: float, seed: int = 11) -> int:
-        """Cells to visit, best first, so that ``cover`` of the k nearest sample vectors of sample queries are met. A
-        whole table's neighbours are nearer than a sample's, so that it meets as many at least."""
-        q = np.random.default_rng(seed).choice(len(x), min(COVER_QUERIES, len(x)), replace=False)
-        k = min(k, len(x) - 1)
-        if k < 1:
-            return len(self.coarse)
-        score = x[q] @ x.T
-        score[np.arange(len(q)), q] = -np.inf
-        near = np.argpartition(-score, k - 1, axis=1)[:, :k]
-        place = np.argsort(np.argsort(-(x[q] @ self.coarse.T), axis=1, kind="stable"), axis=1)
-        met = place[np.arange(len(q))[:, None], self._nearest(x, self.coarse)[near]]
-        return int(np.quantile(met, cover, method="higher")) + 1
-
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cell = self._nearest(x, self.coarse)
         rest = np.pad(x - self.coarse[cell], ((0, 0), (0, self.padded - x.shape[1])))
@@ -123,25 +110,62 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+def top_of(near: np.ndarray, k: int) -> np.ndarray:
+    """The k-th largest of each row (the smallest, if there are fewer)."""
+    return np.partition(near, near.shape[1] - min(k, near.shape[1]), axis=1)[:, near.shape[1] - min(k, near.shape[1])]
+
+
+def probes_for(d: DataFrame, model, ids: np.ndarray, q: np.ndarray, k: int, cover: float) -> int:
+    """Cells to visit, best first, so that ``cover`` of the true k nearest rows of some queries are met: one exact pass over
+    all rows with COVER_QUERIES queries, of which each batch keeps k rows a query."""
+    shared = d.sparkSession.sparkContext.broadcast((ids, q))  # COVER_QUERIES vectors
+
+    def run(batches):
+        own, qs = shared.value
+        for b in batches:
+            v = _matrix(b.column("v")).astype(np.float32)
+            if len(v):
+                cell = model.value._nearest(v, model.value.coarse)
+                score = qs @ v.T
+                score[own[:, None] == np.asarray(b.column("vec_id"))[None]] = -np.inf
+                row, col = np.nonzero((score >= top_of(score, k)[:, None]) & np.isfinite(score))
+                yield pa.RecordBatch.from_arrays([pa.array(row.astype(np.int32)), pa.array(cell[col].astype(np.int32)), pa.array(score[row, col].astype(np.float64)), b.column("vec_id").take(pa.array(col))], names=["query", "cell", "score", "vec_id"])
+
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    best = d.mapInArrow(run, "query int, cell int, score double, vec_id long").withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    found = best.select("query", "cell").toPandas()  # COVER_QUERIES * k rows
+    if found.empty:
+        return len(model.value.coarse)
+    place = np.argsort(np.argsort(-(q @ model.value.coarse.T), axis=1, kind="stable"), axis=1)
+    return int(np.quantile(place[found["query"].to_numpy(), found.cell.to_numpy()], cover, method="higher")) + 1
+
+
 def search(df: DataFrame, queries, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", probes: int | None = None, rerank: int = RERANK) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of every row but the query's own, for each row that ``queries`` (a
-    condition on vec_id) selects. All rows are indexed; the index is trained on a bounded hashed sample, and so is the
-    number of cells a query visits unless ``probes`` gives it: few where vectors cluster, most where they don't."""
+    condition on vec_id) selects. All rows are indexed; the index is trained on a bounded hashed sample. The number of
+    cells a query visits is calibrated against all rows unless ``probes`` gives it (few where vectors cluster, most where
+    they don't); where those cells hold too few rows, further ones are visited until there are k."""
     spark = df.sparkSession
     d = usable(df, vec_id, embedding)
     total = d.count()
     schema = "query_id long, rank int, vec_id long, score double"
     if total == 0:
         return spark.createDataFrame([], schema)
-    sample = bounded_sample(d, "vec_id", SAMPLE, total, "ivf").orderBy("vec_id").limit(2 * SAMPLE).toPandas()
+    cells = int(min(MAX_CELLS, max(total // CELL_TARGET, min(MIN_CELLS, max(4, total // 4)))))
+    bound = max(SAMPLE, SAMPLE_PER_CELL * cells)
+    once = d.groupBy("vec_id").agg(F.min("v").alias("v"))  # rows that share an id count once in the sample
+    sample = bounded_sample(once, "vec_id", bound, total, "ivf").toPandas()
     if sample.empty:
-        sample = d.orderBy("vec_id").limit(SAMPLE).toPandas()
+        sample = once.orderBy(F.xxhash64("vec_id"), "vec_id").limit(bound).toPandas()
+    sample = sample.sort_values("vec_id")
     x = np.stack(sample.v.to_numpy()).astype(np.float32)
-    cells = int(min(MAX_CELLS, max(total // CELL_TARGET, min(MIN_CELLS, max(4, total // 4)))))
     quantiser = Quantiser.train(x, cells)
-    probes = min(cells, probes or quantiser.probes_for(x, k, COVER))
     margin = MARGIN * quantiser.error(x)
     model = spark.sparkContext.broadcast(quantiser)
+    if probes is None:
+        some = np.random.default_rng(11).choice(len(x), min(COVER_QUERIES, len(x)), replace=False)
+        probes = probes_for(d, model, sample.vec_id.to_numpy()[some], x[some], k, COVER)
+    probes = min(cells, probes)
 
     def index(batches):
         for b in batches:
@@ -154,8 +178,12 @@ def search(df: DataFrame, queries, k: int = 20, vec_id: str = "vec_id", embeddin
             raw = b.column("v").to_pylist()
             if raw:
                 q = np.stack([np.frombuffer(r) for r in raw]).astype(np.float32)
-                top = np.argpartition(-(q @ model.value.coarse.T), probes - 1, axis=1)[:, :probes]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(b.column("vec_id")), probes)), pa.array(top.ravel().astype(np.int32)), pa.array([r for r in raw for _ in range(probes)], pa.binary())], names=["query_id", "cell", "q"])
+                order = np.argsort(-(q @ model.value.coarse.T), axis=1, kind="stable")
+                enough = (np.cumsum(sizes.value[order], axis=1) < k + 1).sum(1) + 1
+                n = np.minimum(np.maximum(probes, enough), order.shape[1])
+                row = np.repeat(np.arange(len(q)), n)
+                cell = order[row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(b.column("vec_id"))[row]), pa.array(cell.astype(np.int32)), pa.array([raw[i] for i in row], pa.binary())], names=["query_id", "cell", "q"])
 
     def scan(rows: pa.Table, asked: pa.Table) -> pa.Table:
         out = [[], [], []]
@@ -165,31 +193,38 @@ def search(df: DataFrame, queries, k: int = 20, vec_id: str = "vec_id", embeddin
             ids = ids[order]
             code = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
             v = np.frombuffer(b"".join(rows.column("v").to_pylist())).reshape(len(ids), -1)[order]
-            qid = np.asarray(asked.column("query_id"))
-            qs = np.frombuffer(b"".join(asked.column("q").to_pylist())).reshape(len(qid), -1)
-            table = model.value.tables(qs.astype(np.float32))
-            for i, q in enumerate(qs):
-                near = sum(table[i, j][code[:, j]] for j in range(code.shape[1]))
-                own = ids == qid[i]
-                near = np.where(own, -np.inf, near)
+            all_ids = np.asarray(asked.column("query_id"))
+            all_qs = np.frombuffer(b"".join(asked.column("q").to_pylist())).reshape(len(all_ids), -1)
+            for lo in range(0, len(all_ids), 128):
+                qid, qs = all_ids[lo : lo + 128], all_qs[lo : lo + 128]
+                table = model.value.tables(qs.astype(np.float32))
+                near = np.zeros((len(qid), len(ids)), np.float32)
+                for j in range(code.shape[1]):
+                    near += np.take(table[:, j], code[:, j], axis=1)
+                own = ids[None] == qid[:, None]
+                near[own] = -np.inf
                 take = ~own
                 if len(ids) > max(rerank, k):  # near copies differ by less than the codes tell: all of them are scored
-                    cut = np.partition(near, [-rerank, -k])
-                    take &= near >= min(cut[-rerank], cut[-k] - margin)
-                take = np.flatnonzero(take)
-                exact = (v[take] * q).sum(1)  # the same order of additions for each row: equal vectors tie
-                best = np.lexsort((ids[take], -exact))[:k]
-                out[0].append(np.full(len(best), qid[i]))
-                out[1].append(ids[take][best])
-                out[2].append(exact[best])
+                    take &= near >= np.minimum(top_of(near, rerank), top_of(near, k) - margin)[:, None]
+                row, col = np.nonzero(take)
+                # the same order of additions for each row: equal vectors tie
+                exact = np.concatenate([(v[col[i : i + 16384]] * qs[row[i : i + 16384]]).sum(1) for i in range(0, len(row), 16384)] or [np.zeros(0)])
+                order = np.lexsort((ids[col], -exact, row))
+                row, col, exact = row[order], col[order], exact[order]
+                best = np.arange(len(row)) - np.searchsorted(row, row) < k
+                for o, a in zip(out, (qid[row[best]], ids[col[best]], exact[best])):
+                    o.append(a)
         cols = [np.concatenate(o) if o else np.zeros(0, t) for o, t in zip(out, (np.int64, np.int64, np.float64))]
+        tidy()
         return pa.table([pa.array(c) for c in cols], names=["query_id", "vec_id", "score"])
 
     indexed = durable(d.mapInArrow(index, "vec_id long, cell int, code binary, v binary"))
+    held = {r.cell: r["count"] for r in indexed.groupBy("cell").count().collect()}  # one row a cell: MAX_CELLS at most
+    sizes = spark.sparkContext.broadcast(np.array([held.get(c, 0) for c in range(cells)]))
     visits = durable(indexed.where(queries(F.col("vec_id"))).select("vec_id", "v").mapInArrow(visit, "query_id long, cell int, q binary"))
     deal = indexed.groupBy("cell").count().withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).drop("count")
     asked = visits.groupBy("cell").count().withColumn("turns", F.ceil(F.col("count") / QUERY_BLOCK).cast("int")).drop("count")
-    deal = F.broadcast(durable(deal.join(asked, "cell")))  # one row a cell: MAX_CELLS at most
+    deal = F.broadcast(durable(deal.join(asked, "cell")))  # one row a cell
     rows = indexed.join(deal, "cell").select("cell", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "vec_id", "code", "v")
     asks = visits.join(deal, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("query_id"), "turns").cast("int").alias("turn"), "query_id", "q")
     key = ["cell", "block", "turn"]

@@ -81,7 +81,7 @@ def count_words(train: DataFrame, shards: int) -> tuple[int, int, int, dict[int,
             order = np.argsort(shard, kind="stable")
             key, n, cut = key[order], n[order], np.searchsorted(shard[order], np.arange(shards + 1))
             used = np.flatnonzero(np.diff(cut))
-            return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(pa.array([a[cut[s] : cut[s + 1]].tobytes() for s in used], pa.binary()) for a in (key, n))], names=["shard", "keys", "counts"])
+            return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(pa.array([a[cut[s] : cut[s + 1]].tobytes() for s in used], pa.binary()) for a in (key, n.astype(np.uint32)))], names=["shard", "keys", "counts"])
 
         for part, o, _ in _slices(batches, []):
             key, n = np.unique(_tokens(part, o)[0], return_counts=True)
@@ -98,7 +98,7 @@ def count_words(train: DataFrame, shards: int) -> tuple[int, int, int, dict[int,
             yield flush()
 
     def add(t: pa.Table) -> pa.Table:
-        key, n = _merge([np.frombuffer(b"".join(t.column("keys").to_pylist()), U64)], [np.frombuffer(b"".join(t.column("counts").to_pylist()), np.int64)])
+        key, n = _merge([np.frombuffer(b"".join(t.column("keys").to_pylist()), U64)], [np.frombuffer(b"".join(t.column("counts").to_pylist()), np.uint32)])
         return pa.table([[int(n.sum())], [len(key)], pa.array([key.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=["total", "distinct", "keys", "counts"])
 
     t = durable(train.select("text").mapInArrow(pack, "shard int, keys binary, counts binary").groupBy("shard").applyInArrow(add, "total long, distinct long, keys binary, counts binary"))
@@ -248,7 +248,9 @@ def score(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str = "text",
             w = word2[pair_of[span]]
             sums = [np.bincount(x, v, m) for v in (log_c[w], more[triple_of[span]], c[w] > 0)]
             here = np.unique(x)
-            out.append([a.tobytes() for a in (here, sums[0][here], sums[1][here].astype(np.float32), sums[2][here].astype(np.uint32))])
+            known = sums[2][here].astype(np.uint32)
+            known = known.astype(np.uint16) if not len(known) or known.max() < 1 << 16 else known
+            out.append([a.tobytes() for a in (here, sums[0][here], sums[1][here].astype(np.float32), known)])
         cols = [pa.array(names, pa.int64()), *(pa.array([r[i] for r in out], pa.binary()) for i in range(4)), pa.nulls(len(names), pa.list_(pa.int64())), pa.array(n, pa.int32())]
         a = pa.table(cols, names=["slice", "docs", "log_c", "more", "known", "ids", "train"])
         k = len(info)
@@ -263,11 +265,14 @@ def score(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str = "text",
         size = np.frombuffer(info.column("docs").to_pylist()[0], np.int64)
         n = len(ids)
         joined = lambda c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind)
-        doc = joined("docs", np.uint16 if n < 1 << 16 else np.uint32)
+        kind = np.uint16 if n < 1 << 16 else np.uint32
+        doc = joined("docs", kind)
         add = lambda c, kind: np.bincount(doc, joined(c, kind), n)
+        known = [np.frombuffer(r, np.uint16 if len(r) * np.dtype(kind).itemsize == 2 * len(x) else np.uint32) for r, x in zip(t.column("known").to_pylist(), t.column("docs").to_pylist())]
+        known = np.bincount(doc, np.concatenate(known or [np.zeros(0)]), n).astype(np.int64)
         base = add("log_c", np.float64) - size * np.log10(z)
         whole = base + add("more", np.float32) + size * np.log10(nu) - first_norm
-        cols = [pa.array(ids, pa.int64()), pa.array(np.arange(n) >= train), pa.array(size), pa.array(add("known", np.uint32).astype(np.int64)), pa.array(np.full(n, total)), pa.array(base), pa.array(whole)]
+        cols = [pa.array(ids, pa.int64()), pa.array(np.arange(n) >= train), pa.array(size), pa.array(known), pa.array(np.full(n, total)), pa.array(base), pa.array(whole)]
         return pa.table(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     packed = d.mapInArrow(pack, "shard int, slice long, n int, train int, words binary, runs binary, contexts binary, earlier binary, docs binary, ids array<long>")

@@ -48,16 +48,17 @@ def source_targets(sizes: DataFrame, source: str = "source", size: str = "size",
     return t.select(source, "source_size", "weight", target.alias("target"))
 
 
-def join_sources(docs: DataFrame, sources: DataFrame, source: str) -> DataFrame:
-    """docs with the columns of its source. Broadcast when the counted table is small, else salted."""
+def join_sources(docs: DataFrame, sources: DataFrame, source: str, spread: str) -> DataFrame:
+    """docs with the columns of its source. Broadcast when the counted table is small, else salted by the column spread."""
     size = sources.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(F.col(source))).alias("b")).first()
-    right = sources.withColumnRenamed(source, "__source")
+    name, salt, pick = (free_name(docs, f"__mix_{k}") for k in ("name", "salt", "pick"))
+    right = sources.withColumnRenamed(source, name)
     if size.n <= BROADCAST_ROWS and (size.b or 0) <= BROADCAST_BYTES:
-        return docs.join(F.broadcast(right), F.col(source).eqNullSafe(F.col("__source")), "left").drop("__source")
-    right = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    left = docs.withColumn("__pick", F.pmod(F.xxhash64(*[F.col(c) for c in docs.columns if c != source]), F.lit(SALTS)))
-    on = F.col(source).eqNullSafe(F.col("__source")) & (F.col("__pick") == F.col("__salt"))
-    return left.join(right, on, "left").drop("__source", "__salt", "__pick")
+        return docs.join(F.broadcast(right), F.col(source).eqNullSafe(F.col(name)), "left").drop(name)
+    right = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    left = docs.withColumn(pick, F.pmod(F.xxhash64(F.col(spread)), F.lit(SALTS)))
+    on = F.col(source).eqNullSafe(F.col(name)) & (F.col(pick) == F.col(salt))
+    return left.join(right, on, "left").drop(name, salt, pick)
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix:", **shares) -> DataFrame:
@@ -70,20 +71,22 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
     sources = durable(source_targets(d, **shares))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    d = join_sources(d, sources, "source").withColumn("rate", rate)
+    d = join_sources(d, sources, "source", "doc_id").withColumn("rate", rate)
     copies = F.floor("rate") + (unit_hash(F.col("doc_id"), seed) < F.col("rate") - F.floor("rate")).cast("long")
     d = d.withColumn("copies", copies.cast("long"))
     return d.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 def emit_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix:", **shares) -> DataFrame:
-    """The mixed corpus: each row of docs, with all its columns, as often as the mix takes it."""
+    """The mixed corpus: each row of docs, with all its columns, as often as the mix takes it (see mix). Rows of one id
+    share their draw; a null or empty text is taken as often as its source's rate says; an empty table gives no rows, and
+    so does a source without words."""
     d = docs.select(F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
     sources = source_targets(d, **shares)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     key, plan = free_name(docs, "__mix_source"), free_name(docs, "__mix_rate")
     sources = durable(sources.select(F.col("source").alias(key), rate.alias(plan)))
-    out = join_sources(docs.withColumn(key, F.col(source)), sources, key)
+    out = join_sources(docs.withColumn(key, F.col(source)), sources, key, doc_id)
     copies = F.floor(plan) + (unit_hash(F.col(doc_id), seed) < F.col(plan) - F.floor(plan)).cast("long")
     each = free_name(docs, "__mix_copy")
     return out.withColumn(each, F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*docs.columns)

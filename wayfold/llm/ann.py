@@ -29,7 +29,7 @@ SUBSPACES = 16
 COVER = 0.94
 COVER_QUERIES = 256
 RERANK = 60
-MARGIN = 3.0
+MARGIN = 1.0
 #: Vectors and queries that one task step holds together; hot cells are dealt over several steps.
 BLOCK = 2048
 QUERY_BLOCK = 512

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from wayfold.functions import geometry, scalars
-from wayfold.operators import guidance, maps, spatial, translations
+from wayfold.operators import guidance, maps, places, spatial, translations
 
 WALK = "request_id long, pos int, id string, kind string, floor_from string, floor_to string, distance_m double, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double"
 ENDS = "request_id long, start_floor string, start_m double, destination_floor string, destination_m double"
@@ -69,3 +69,42 @@ def test_names_and_links(spark):
     assert {r.id: (r.distance_m, r.problem) for r in maps.overlay_edges(n, l).collect()} == {"1": (5.0, None), "2": (1.0, "floor-mismatch"), "3": (None, "start-missing")}
     s = spark.createDataFrame([("エレベーター1",), ("女子トイレ",), ("ESC-2",), ("shop",)], "n string")
     assert [r[0] for r in s.select(scalars.space_category(F.col("n"))).collect()] == ["elevator", "toilet", "escalator", None]
+
+
+PLACE = "id string, name string, name_kind string, code string, layer string, category string, area string, floor_id string, routable boolean"
+RECORD = "id string, ja string, en string, status string, source string, aliases_ja array<string>, aliases_en array<string>"
+
+
+def test_translations_search_and_groups(spark):
+    rows = [
+        ("1", "階段 2", "generated-category", "F011", "Facility", "stairs", "1.East_A", "0", True), ("2", "トイレ（男性）", "source", "B007", "Space", "toilet", "1.East_A", "0", True),
+        ("3", "b gate", "source", None, "Opening", "gate", "2.West", "B1", True), ("4", "A gate", "source", None, "Opening", "gate", "2.West", "B1", True),
+        ("5", "階段", "source", "F011", "Facility", "stairs", None, "0", False), ("6", "EV_9", "source", "F999", "Space", "gate", "2.West", "B1", True),
+    ]
+    p = spark.createDataFrame(rows, PLACE)
+    e = spark.createDataFrame([("3", "b gate", "B Gate", "reviewed", "register", ["ビー"], None)], RECORD)
+    a = spark.createDataFrame([("1.East_A", "East・A", "East A", "reviewed", "register", ["東"], [])], RECORD)
+    t = translations.translate(p, e)
+    got = {r.id: (r.en, r.status, r.aliases_ja, r.aliases_en) for r in t.collect()}
+    assert got["1"] == ("Stairs 2", "specification", ["階段"], ["Stairs"]) and got["2"][:2] == ("Lavatory (Male)", "specification") and got["2"][3] == []
+    assert got["3"] == ("B Gate", "reviewed", ["ビー"], []) and got["4"] == (None, "pending", [], []) and got["6"][1] == "pending"
+    assert {r.id for r in translations.pending(t).collect()} == {"4", "5", "6"}
+    report = {r.section: (r.covered, r.english, r.total) for r in translations.coverage_report(p, t, a).collect()}
+    assert report == {"routable-places": (5, 3, 5), "facility-markers": (1, 1, 1), "permanent-labels": (3, 1, 3), "public-areas": (1, 1, 2)}
+    assert translations.record_issues(t, p).count() == 0 and translations.record_issues(t.limit(0), p.limit(0)).count() == 0
+    own = p.select(F.col("area").alias("id"), F.col("area").alias("name")).where("id is not null").distinct()
+    assert [tuple(r) for r in translations.record_issues(a, own, areas=True).collect()] == [("2.West", "record-missing")]
+    assert {r.code for r in translations.record_issues(a, own).collect()} == {"record-missing", "japanese-not-authoritative"}
+    odd = spark.createDataFrame([("x", " ", "X", "pending", " ", ["a", "a"], [" "])], RECORD)
+    assert {r.code for r in translations.record_issues(odd, p.limit(0)).collect()} == {"id-unknown", "japanese-missing", "source-missing", "alias-blank", "alias-twice", "english-of-pending"}
+    terms = places.term_index(p, t, a)
+    n = {}
+    for r in terms.collect():
+        n.setdefault(r.id, []).append(r.term)
+    assert "5" not in n and sorted(n["1"]) == sorted(["階段 2", "階段 2", "stairs 2", "stairs", "階段", "1.east_a", "階段", "stairs", "east・a", "east a", "東"])
+    q = spark.createDataFrame([("東",), ("ビー",), ("stairs",), ("改札",), ("west",)], "query string")
+    hits = {(r.query, r.id) for r in places.search(terms, q).collect()}
+    assert hits == {("東", "1"), ("東", "2"), ("ビー", "3"), ("stairs", "1"), ("改札", "3"), ("改札", "4"), ("改札", "6"), ("west", "3"), ("west", "4"), ("west", "6")}
+    g = sorted((r.group_no, r.nth, r.id, r.name) for r in places.ordered_groups(p, t, a, "en").collect())
+    assert [(x[0], x[2]) for x in g if x[0] == 1] == [(1, "4"), (1, "3"), (1, "6")] and {x[2] for x in g} == {r[0] for r in rows}
+    assert places.ordered_groups(p.limit(0), t, a, "ja").count() == 0

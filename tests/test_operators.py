@@ -116,6 +116,17 @@ def test_search_and_rules(spark):
     assert quality.same_rows(p, p) and not quality.same_rows(p, p.limit(1))
 
 
+def test_search_brute_force(spark):
+    words = ["gate", "gates", "ga", "g", "", "agate west", "west gate", "改札", "北改札口", "gategate"]
+    terms = [(f"p{i}", words[(i * 7 + j) % len(words)]) for i in range(40) for j in range(3)]
+    asked = ["gate", "gat", "te w", "ate", "g", "ga", "改", "札口", "改札口", "gatx", "zzz", "", "gates"]
+    t = spark.createDataFrame(terms, "id string, term string")
+    q = spark.createDataFrame([(x,) for x in asked], "query string")
+    want = {(x, i) for x in asked if x for i, w in terms if x in w}
+    assert sorted(map(tuple, places.search(t, q).collect())) == sorted(want)
+    assert places.search(t.limit(0), q).count() == 0 and places.search(t, q.limit(0)).count() == 0
+
+
 def test_shapes(spark, tmp_path):
     body = struct.pack("<idd", 1, 139.7, 35.69)
     line = struct.pack("<i4d2i1i4d", 3, 0, 0, 2, 2, 1, 2, 0, 0, 0, 2, 2)

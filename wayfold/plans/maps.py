@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import categories, scalars
+from ..functions import categories, scalars, texts
 from ..functions.scalars import millimetres as mm
 from ..operators import maps, markers, places, spatial, translations
 from ..sources.derived import ctes, table
@@ -67,9 +67,17 @@ def _translated(s: SparkSession, d: str) -> DataFrame:
     return translations.translate(p, given)
 
 
+PLAIN = ["id", "ja", "en", "status", "source"]
+
+
 @query(EXPLICIT + " select id, ja, en, status, source from t", "nodes", "features")
 def place_translations(s: SparkSession, d: str) -> DataFrame:
-    return _translated(s, d)
+    return _translated(s, d).select(*PLAIN)
+
+
+@query(EXPLICIT + " select p.id, case when e.id is null and name_kind='generated-category' then p.ja end as alias_ja, case when e.id is null and name_kind='generated-category' then p.en end as alias_en from p left join e using (id)", "nodes", "features")
+def translation_aliases(s: SparkSession, d: str) -> DataFrame:
+    return _translated(s, d).select("id", *[F.nullif(F.array_join(f"aliases_{x}", ","), F.lit("")).alias(f"alias_{x}") for x in ("ja", "en")])
 
 
 @query(EXPLICIT + " select status, source, count(*) as n from t group by all", "nodes", "features")
@@ -182,3 +190,85 @@ def place_groups(s: SparkSession, d: str) -> DataFrame:
 @query(MARKERS + " select count(*) as places, count(distinct name) as unique_names, count(*) filter (d <= 5) as high, count(*) filter (d > 5 and d <= 15) as medium, count(*) filter (d > 15) as low from p", "nodes", "features")
 def place_statistics(s: SparkSession, d: str) -> DataFrame:
     return places.statistics(markers.promoted(_candidates(s, d)))
+
+
+AREAS = EXPLICIT + """, ar as (select distinct area as id from p where area not like '%3'), pr as (select *, d <= 5 as routable from p)"""
+
+
+def _areas(s: SparkSession, d: str) -> DataFrame:
+    """Records of the areas, but for those whose name ends in 3; an area is called by its number too."""
+    a = markers.promoted(_candidates(s, d)).select(F.col("area").alias("id")).distinct().where("id not like '%3'")
+    number = F.array(F.concat(F.lit("No "), F.substring_index("id", "#", -1)))
+    return a.select("id", F.col("id").alias("ja"), F.concat(F.lit("Area "), "id").alias("en"), F.lit("reviewed").alias("status"), F.lit("register").alias("source"), F.array().cast("array<string>").alias("aliases_ja"), number.alias("aliases_en"))
+
+
+def _public(s: SparkSession, d: str) -> DataFrame:
+    """Places; those with high confidence are routable."""
+    return markers.promoted(_candidates(s, d)).withColumns({"layer": F.lit("Facility"), "routable": F.col("confidence") == "high"})
+
+
+INDEXED = AREAS + f""", cn(category, cen, cja) as (values {_values({k: (v, texts.CATEGORY_NAMES['ja'][k]) for k, v in texts.CATEGORY_NAMES['en'].items()})}),
+ix as (select pr.id, unnest([pr.name, t.ja, t.en, cen, cja, pr.area, ar.id, 'Area ' || ar.id, 'No ' || string_split(ar.id, '#')[-1],
+ case when t.source='category-table' then pr.ja end, case when t.source='category-table' then pr.en end]) as raw from pr join t using (id) join cn using (category) left join ar on ar.id=pr.area where routable),
+tm as (select id, trim(regexp_replace(lower(translate(raw, '（）／', '()/')), '\\s+', ' ', 'g')) as term from ix where raw <> '')"""
+
+
+def _index(s: SparkSession, d: str) -> DataFrame:
+    return places.term_index(_public(s, d), _translated(s, d), _areas(s, d))
+
+
+@query(INDEXED + " select id, term, count(*) as n from tm group by all", "nodes", "features")
+def place_terms(s: SparkSession, d: str) -> DataFrame:
+    return _index(s, d).groupBy("id", "term").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(INDEXED + """, asked as (select distinct left(term, 5) as query from tm union select distinct right(term, 2) from tm) select distinct query, id from asked join tm on contains(term, query)""", "nodes", "features")
+def bilingual_search(s: SparkSession, d: str) -> DataFrame:
+    """Places found by the first five and the last two letters of all terms."""
+    t = _index(s, d)
+    q = t.select(F.left("term", F.lit(5)).alias("query")).union(t.select(F.right("term", F.lit(2)))).distinct()
+    return places.search(t, q)
+
+
+@query(AREAS + """, h as (select pr.*, t.en as ten, ar.id as known from pr left join t using (id) left join ar on ar.id=pr.area where routable)
+select 'routable-places' as section, count(*) as covered, count(ten) as english, count(*) as total from h having count(*) > 0 union all select 'facility-markers', count(*), count(ten), count(*) from h having count(*) > 0
+union all select 'permanent-labels', count(*), count(ten), count(*) from h where category='gate' having count(*) > 0 union all select 'public-areas', count(distinct known), count(distinct known), count(distinct area) from h having count(*) > 0""", "nodes", "features")
+def translation_report(s: SparkSession, d: str) -> DataFrame:
+    return translations.coverage_report(_public(s, d), _translated(s, d), _areas(s, d))
+
+
+@query(EXPLICIT + " select id from t where status='pending'", "nodes", "features")
+def pending_translations(s: SparkSession, d: str) -> DataFrame:
+    return translations.pending(_translated(s, d))
+
+
+@query(EXPLICIT + """, bad as (select case when k % 11 = 0 then 'lost:' || id else id end as id, case when k % 7 = 0 then ja || '?' else ja end as ja, case when k % 13 = 0 then ' ' else en end as en, status, k % 5 = 0 as twice from (select *, cast(substr(id, 11) as bigint) as k from t))
+select id as source_id, 'id-unknown' as code from bad where id like 'lost:%' union all select id, 'japanese-not-authoritative' from bad where id not like 'lost:%' and ja like '%?' union all select id, 'english-blank' from bad where en=' '
+union all select id, 'english-of-pending' from bad where status='pending' and en is not null union all select id, 'alias-twice' from bad where twice union all select id, 'record-missing' from p where id not in (select id from bad)""", "nodes", "features")
+def translation_record_issues(s: SparkSession, d: str) -> DataFrame:
+    """Records with strange ids and texts and aliases that repeat, against the places' names."""
+    k = F.substring("id", 11, 20).cast("long")
+    t = _translated(s, d).withColumn("k", k)
+    r = t.withColumns({
+        "id": F.when(F.col("k") % 11 == 0, F.concat(F.lit("lost:"), "id")).otherwise(F.col("id")),
+        "ja": F.when(F.col("k") % 7 == 0, F.concat("ja", F.lit("?"))).otherwise(F.col("ja")),
+        "en": F.when(F.col("k") % 13 == 0, " ").otherwise(F.col("en")),
+        "aliases_ja": F.when(F.col("k") % 5 == 0, F.array(F.lit("a"), F.lit("a"))).otherwise(F.col("aliases_ja")),
+    })
+    return translations.record_issues(r, markers.promoted(_candidates(s, d)))
+
+
+def _sql_groups(locale: str) -> str:
+    name = "coalesce(t.en, t.ja)" if locale == "en" else "t.ja"
+    area = "coalesce('Area ' || ar.id, p.area)" if locale == "en" else "p.area"
+    floor = "case p.floor_id when 'B2' then -10 when 'B1' then -5 when '0' then 0 when '1' then 5 else 10 end"
+    kind = "cen" if locale == "en" else "cja"
+    return f"""select dense_rank() over (order by {floor}, {area} collate ja, {kind} collate {locale}, p.floor_id, p.area, p.category) as group_no, p.floor_id, p.area as area_id, {area} as area, p.category,
+ row_number() over (partition by p.floor_id, p.area, p.category order by {name} collate {locale}, p.id) as nth, p.id, {name} as name from p join t using (id) join cn using (category) left join ar on ar.id=p.area"""
+
+
+@query(INDEXED + ", both_ as (select 'en' as locale, * from (" + _sql_groups("en") + ") union all select 'ja', * from (" + _sql_groups("ja") + ")) select * from both_", "nodes", "features")
+def ordered_place_groups(s: SparkSession, d: str) -> DataFrame:
+    """Members of the groups in both languages' order."""
+    one = lambda x: places.ordered_groups(_public(s, d), _translated(s, d), _areas(s, d), x).select(F.lit(x).alias("locale"), "*")
+    return one("en").unionByName(one("ja"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, chat, langid, lm, mixing, near_dups, quality_cnn, quality_rules, warc
+from . import ann, bpe, chat, langid, lm, mixing, near_dups, packing, quality_cnn, quality_rules, spelling, warc, whitening
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_chat": chat.op9_chat,
     "op10_warc": warc.op10_warc,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_spelling": spelling.op12_spelling,
+    "op13_packing": packing.op13_packing,
 }
 
 SQL = {"op1_mixing": mixing.OP1_SQL, "op9_chat": chat.OP9_SQL, "op10_warc": warc.OP10_SQL}

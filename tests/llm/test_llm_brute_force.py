@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from wayfold.llm import ann, langid, lm, mixing, near_dups, quality_cnn, quality_rules, queries
+from wayfold.llm import ann, bpe, langid, lm, mixing, near_dups, quality_cnn, quality_rules, queries
 
 SMALL, LARGE = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -197,3 +198,25 @@ def test_stages_on_odd_tables(spark):
             stage(spark, table, SMALL).count()
     assert near_dups.drop_near_duplicates(docs).count() == 4
     assert quality_cnn.fit(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int")) is not None
+
+
+def test_bpe_on_every_code_point():
+    """Ids and decoded text as the library has them, for every code point beside letters, digits, symbols and itself, and
+    for random texts of such."""
+    tokenizers, P = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    path = P.path("word_bpe_49k.json")
+    library = tokenizers.Tokenizer.from_file(path)
+    merges = bpe.Merges(path)
+    encoder, decoder = bpe.Encoder(merges), bpe.Decoder(merges)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    rnd = random.Random(4)
+    texts = [f"a{c}b {c}1{c}{c} {c}!{c}Z" for c in points]
+    texts += ["".join(rnd.choice(points) if rnd.random() < 0.5 else rnd.choice("ab1 .'-s") for _ in range(rnd.randrange(1, 30))) for _ in range(20_000)]
+    for lo in range(0, len(texts), 8192):
+        part = texts[lo : lo + 8192]
+        want = [x.ids for x in library.encode_batch(part, add_special_tokens=False)]
+        for text, ids in zip(part, want):
+            assert encoder.encode(text) == ids, ascii(text)
+        decoded = library.decode_batch(want, skip_special_tokens=False)
+        for ids, text in zip(want, decoded):
+            assert decoder.push(ids) + decoder.finish() == text

@@ -17,7 +17,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 import pandas as pd
 import regex
@@ -47,6 +47,13 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
+@lru_cache(maxsize=1 << 16)
+def unsettled(char: str) -> bool:
+    """Whether Python's tables don't have a character. The regex package's and the vocabulary's library's may, and do not
+    agree on which of these are letters and digits, nor on their case."""
+    return unicodedata.category(char) == "Cn"
+
+
 class Merges:
     """A vocabulary file's tokens, merge rules, word pattern and special tokens."""
 
@@ -183,17 +190,37 @@ class Encoder:
             yield self.feed(word[i : i + self.step].encode("utf-8", "replace"))
         yield self.finish()
 
+    def words_of(self, part: str):
+        """The words of text without special tokens, normalised. Where it has characters that came to Unicode lately or are
+        not there yet, the vocabulary's library normalises and cuts it, by its own tables."""
+        if not part.isascii() and any(map(unsettled, set(part))):
+            yield from (word for word, _ in self.cut.pre_tokenize_str(self.normal.normalize_str(part)))
+            return
+        if not part.isascii() and not unicodedata.is_normalized("NFC", part):
+            part = unicodedata.normalize("NFC", part)
+        for found in self.words.finditer(part.replace("Σ", "σ").lower()):
+            yield found[0]
+
+    @cached_property
+    def normal(self):
+        from tokenizers import normalizers
+
+        return normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+
+    @cached_property
+    def cut(self):
+        from tokenizers import Regex, pre_tokenizers
+
+        return pre_tokenizers.Split(Regex(self.m.pattern), "removed", invert=True)
+
     def pieces(self, piece: str):
         """Token runs of a piece between blanks: special tokens, and the words of the pattern."""
         for part in self.specials.split(piece) if self.specials and "<" in piece else (piece,):
             if part in self.m.special:
                 yield (self.m.special[part],)
                 continue
-            if not part.isascii() and not unicodedata.is_normalized("NFC", part):
-                part = unicodedata.normalize("NFC", part)
-            part = part.replace("Σ", "σ").lower()
-            for found in self.words.finditer(part):
-                if len(word := found[0]) <= MEMO_CHARS:
+            for word in self.words_of(part):
+                if len(word) <= MEMO_CHARS:
                     yield self.word(word)
                 else:
                     yield from self.long_word(word)

@@ -220,3 +220,18 @@ def test_bpe_on_every_code_point():
         decoded = library.decode_batch(want, skip_special_tokens=False)
         for ids, text in zip(want, decoded):
             assert decoder.push(ids) + decoder.finish() == text
+
+
+def test_ann_searches_each_length_among_its_like(spark):
+    rng = np.random.default_rng(21)
+    rows = [(i, rng.normal(size=4 if i % 7 else 3).tolist(), 0.5, i) for i in range(1, 400)] + [(500, [], 0.5, 1), (501, [0.0] * 3, 0.5, 1), (None, [1.0] * 3, 0.5, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score double, cell int")
+    got = {}
+    for r in ann.search(df, lambda c: c % 5 == 0, k=6, probes=1000).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    like = {i: np.array(v) for i, v, *_ in rows if i is not None and np.any(v)}
+    for q, v in like.items():
+        if q % 5 == 0:
+            near = sorted((-(v * o).sum(), i) for i, o in like.items() if i != q and len(o) == len(v))[:6]
+            assert sorted(got.pop(q)) == [(k + 1, i) for k, (_, i) in enumerate(near)]
+    assert not got

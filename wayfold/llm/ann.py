@@ -1,9 +1,10 @@
 """Approximate nearest neighbours by inner product: inverted file of coarse centroids, product-quantised residuals,
 asymmetric distance tables and exact reranking.
 
-Vectors that are null, zero, of another length than most, or that hold null or non-finite components take no part;
-neither do rows with a null id. An empty table gives no rows. Equal scores are ordered by the smaller id, and rows
-that repeat an id are candidates of their own (never of their own id).
+Vectors that are null, zero, or that hold null or non-finite components take no part; neither do rows with a null id.
+Vectors of each length have an index of their own and are searched among their like. An empty table gives no rows. Equal
+scores are ordered by the smaller id, and rows that repeat an id are candidates of their own (never of their own id).
+Other columns of the table are not looked at, whatever their names are.
 """
 
 from __future__ import annotations
@@ -101,9 +102,7 @@ def usable(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     """vec_id, v (array<double>) of the rows that take part, and no others."""
     d = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v")).where("vec_id is not null and v is not null")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    d = d.where(fine & F.exists("v", lambda x: x != 0))
-    sizes = d.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return d.where(F.size("v") == (sizes[0].n if sizes else -1))
+    return d.where(fine & F.exists("v", lambda x: x != 0))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -145,12 +144,18 @@ def search(df: DataFrame, queries, k: int = 20, vec_id: str = "vec_id", embeddin
     condition on vec_id) selects. All rows are indexed; the index is trained on a bounded hashed sample. The number of
     cells a query visits is calibrated against all rows unless ``probes`` gives it (few where vectors cluster, most where
     they don't); where those cells hold too few rows, further ones are visited until there are k."""
-    spark = df.sparkSession
     d = usable(df, vec_id, embedding)
-    total = d.count()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if total == 0:
-        return spark.createDataFrame([], schema)
+    sizes = sorted((r.n, r["count"]) for r in d.groupBy(F.size("v").alias("n")).count().collect())  # a row a length
+    out = df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for n, total in sizes:
+        found = search_like(d.where(F.size("v") == n) if len(sizes) > 1 else d, total, queries, k, probes, rerank)
+        out = found if len(sizes) == 1 else out.unionByName(found)
+    return out
+
+
+def search_like(d: DataFrame, total: int, queries, k: int, probes: int | None, rerank: int) -> DataFrame:
+    """search() among ``total`` vectors of one length (vec_id, v)."""
+    spark = d.sparkSession
     cells = int(min(MAX_CELLS, max(total // CELL_TARGET, min(MIN_CELLS, max(4, total // 4)))))
     bound = max(SAMPLE, SAMPLE_PER_CELL * cells)
     once = d.groupBy("vec_id").agg(F.min("v").alias("v"))  # rows that share an id count once in the sample

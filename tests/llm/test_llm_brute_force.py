@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -68,6 +69,45 @@ def test_near_dups_against_all_pairs(spark):
     assert got == want and len(set(want.values())) < len(want)
 
 
+def similar_pairs(texts, least=0.8):
+    """Indices of all pairs of word lists of similarity ``least`` or more: texts meet on the rarest quarter of their words
+    (a pair's edits leave one of these), and are aligned where enough words are common."""
+    labelled = []
+    for w in texts:
+        seen = Counter()
+        bag = []
+        for x in w:
+            seen[x] += 1
+            bag.append((x, seen[x]))
+        labelled.append(bag)
+    often = Counter(x for bag in labelled for x in bag)
+    held, out = {}, set()
+    for i, bag in enumerate(labelled):
+        rare = sorted(bag, key=lambda x: (often[x], x))[: int((1 / least - 1) * len(bag) + 1e-9) + 1]
+        for j in {j for x in rare for j in held.get(x, ())}:
+            size = max(len(bag), len(labelled[j]))
+            most = int((1 - least) * size + 1e-9)
+            if abs(len(bag) - len(labelled[j])) <= most and len(set(bag) & set(labelled[j])) >= size - most and distance(texts[i], texts[j], most) <= most:
+                out.add((j, i))
+        for x in rare:
+            held.setdefault(x, []).append(i)
+    return out
+
+
+def test_near_dups_against_all_pairs_of_a_larger_table(spark):
+    """All pairs of different texts of sf0.1: what share of those of similarity 0.8 or more lies in one group."""
+    docs = spark.read.parquet(f"{LARGE}/documents.parquet").select("doc_id", "text")
+    rows = {}
+    for r in docs.collect():
+        rows.setdefault(tuple(words(r.text)), r.doc_id)
+    texts = [w for w in rows if w]
+    pairs = similar_pairs(texts)
+    got = {r.doc_id: r.cluster_id for r in near_dups.cluster(docs).collect()}
+    lost = [(rows[texts[a]], rows[texts[b]]) for a, b in pairs if got[rows[texts[a]]] != got[rows[texts[b]]]]
+    print(len(pairs), "pairs, lost:", lost)
+    assert len(pairs) > 1000 and not lost
+
+
 def test_pipeline_against_plain_python(spark):
     tokenizers = pytest.importorskip("tokenizers")
     path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")

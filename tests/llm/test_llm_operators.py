@@ -283,18 +283,20 @@ def test_pipeline(spark):
     assert len(set(texts.values())) == len(texts)  # no exact copy is left
 
 
-def test_near_dups_behind_a_foreign_member(spark):
-    """Near copies that share only buckets which a passage of many documents fills are found."""
+@pytest.mark.parametrize("shared,own_words,edits", [(22, 8, 1), (18, 12, 5), (20, 10, 6)])
+def test_near_dups_behind_a_foreign_member(spark, shared, own_words, edits):
+    """Near copies that share only buckets which a passage of many documents fills are found, down to similarity 0.8."""
     r = random.Random(8)
     word = iter(f"q{i}" for i in range(10**6))
-    passage = [next(word) for _ in range(22)]
+    passage = [next(word) for _ in range(shared)]
     rows, pairs = [], []
     for i in range(300):  # foreign first members have the smallest ids
-        rows.append((i, " ".join(passage + [next(word) for _ in range(8)])))
+        rows.append((i, " ".join(passage + [next(word) for _ in range(own_words)])))
     for i in range(300):
-        own = [next(word) for _ in range(8)]
+        own = [next(word) for _ in range(own_words)]
         other = list(own)
-        other[r.randrange(2, 6)] = next(word)
+        for at in r.sample(range(own_words), edits):
+            other[at] = next(word)
         rows += [(1000 + 2 * i, " ".join(passage + own)), (1001 + 2 * i, " ".join(passage + other))]
         pairs.append((1000 + 2 * i, 1001 + 2 * i))
     got = near_dups.cluster(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().set_index("doc_id").cluster_id

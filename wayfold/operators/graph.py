@@ -3,25 +3,40 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PROFILES = ["shortest", "accessible", "avoid-stairs", "prefer-elevator", "fewest-floor-changes"]
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut a loop's lineage in the shared checkpoint folder that the session names. Only a local session gets a folder of
-    its own where none is named."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The shared checkpoint folder that the session names. Only a local session gets a folder of its own where none is
+    named."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None and not (sc.master == "local" or sc.master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="wayfold-loop-"))
+    return sc.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut a loop's lineage in the shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut a loop's lineage by a table in the shared checkpoint folder. Unlike a checkpoint, which keeps the estimated size
+    of its plan (a product for each join, which a loop of joins squares round by round), a table has its true size."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def with_endpoints(edges: DataFrame, nodes: DataFrame, how: str = "inner") -> DataFrame:
     """edges with the floors, places and contexts of both ends (a_*, b_*)."""
     cols = ["id", "x", "y", "z", "floor_id", "in_out"]

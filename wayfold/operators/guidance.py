@@ -69,12 +69,13 @@ def warnings(walk: DataFrame, requests: DataFrame, unknowns: str = "unknowns") -
     return fields.groupBy("request_id").agg(F.array_sort(F.collect_set("field")).alias("fields"))
 
 
-def access_unverified(requests: DataFrame, places: DataFrame) -> DataFrame:
-    """request_id, place_ids (start first): ends of accessible routes whose way to the network isn't known to be
-    accessible. places: id, accessibility."""
+def access_unverified(planned: DataFrame, places: DataFrame) -> DataFrame:
+    """request_id, place_ids (start first): ends of found accessible routes whose way to the network isn't known to be
+    accessible; none where both ends are one place. planned: as routing.plans gives it, places: id, accessibility."""
     unsure = places.where(F.col("accessibility") == "unknown").select("id")
     ends = F.posexplode(F.array("start_id", "destination_id")).alias("side", "id")
-    d = requests.where("profile = 'accessible'").select("request_id", ends).join(unsure, "id", "left_semi")
+    found = planned.where("profile = 'accessible' and status = 'ok' and start_id != destination_id")
+    d = found.select("request_id", ends).join(unsure, "id", "left_semi")
     return d.groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("side", "id"))), lambda s: s["id"]).alias("place_ids"))
 
 
@@ -86,8 +87,9 @@ def route_floors(walk: DataFrame) -> DataFrame:
 
 
 def route_lines(walk: DataFrame) -> DataFrame:
-    """request_id, points: each route's line, with the joints once."""
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("pos", line().alias("line")))), lambda s: s["line"])
+    """request_id, points: each route's line, with the joints once; of its arcs' own lines (points) where walk has them."""
+    own = F.col("points") if "points" in walk.columns else line()
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("pos", own.alias("line")))), lambda s: s["line"])
     return walk.groupBy("request_id").agg(geometry.joined(lines).alias("points"))
 
 
@@ -97,10 +99,42 @@ def direction_cues(walk: DataFrame, floors: list[str], shortest_m: float = 10.0)
     return d.select("request_id", "pos", geometry.arrow(line()).alias("cue")).where("cue is not null")
 
 
+def _own_line(walk: DataFrame) -> Column:
+    return F.col("points") if "points" in walk.columns else line()
+
+
 def transition_markers(walk: DataFrame, floors: list[str]) -> DataFrame:
     """request_id, pos, movement, floor_from, floor_to, cue of floor changes between shown floors."""
     d = walk.where(changes() & F.col("floor_from").isin(floors) & F.col("floor_to").isin(floors))
-    return d.select("request_id", "pos", F.col("kind").alias("movement"), "floor_from", "floor_to", geometry.arrow(line()).alias("cue")).where("cue is not null")
+    return d.select("request_id", "pos", F.col("kind").alias("movement"), "floor_from", "floor_to", geometry.arrow(_own_line(walk)).alias("cue")).where("cue is not null")
+
+
+def transition_lines(walk: DataFrame, floors: list[str]) -> DataFrame:
+    """request_id, pos, points: the lines of floor changes between shown floors, whole."""
+    d = walk.where(changes() & F.col("floor_from").isin(floors) & F.col("floor_to").isin(floors))
+    return d.select("request_id", "pos", _own_line(walk).alias("points"))
+
+
+def shown_between(elevations: list[float]) -> Column:
+    on = lambda y: F.exists(F.array(*[F.lit(float(e)) for e in elevations]), lambda e: F.abs(y - e) < 0.01)
+    return on(F.col("a.y")) & on(F.col("b.y"))
+
+
+def visible_lines(legs: DataFrame, elevations: list[float], factor: float = 1.0) -> DataFrame:
+    """request_id, leg, run (from 1), points: the unbroken parts of each leg's line that lie on the shown floors. legs:
+    request_id, leg, points; a segment is shown if both its ends are at a shown elevation, and heights are drawn times
+    ``factor``. One leg is one line; its parts are told apart in it, rows of a leg don't meet."""
+    n = F.size("points")
+    pairs = F.when(n > 1, F.arrays_zip(F.slice("points", 1, n - 1).alias("a"), F.slice("points", 2, n - 1).alias("b")))
+    d = legs.select("request_id", "leg", F.posexplode(pairs).alias("pos", "s")).select("request_id", "leg", "pos", "s.a", "s.b")
+    w = Window.partitionBy("request_id", "leg").orderBy("pos")
+    d = d.withColumn("shown", shown_between(elevations)).withColumn("before", F.coalesce(F.lag("shown").over(w), F.lit(False)))
+    d = d.withColumn("run", F.sum(F.when(F.col("shown") & ~F.col("before"), 1).otherwise(0)).over(w)).where("shown")
+    segments = F.array_sort(F.collect_list(F.struct("pos", "a", "b")))
+    g = d.groupBy("request_id", "leg", "run").agg(segments.alias("s"))
+    drawn = lambda p: F.struct(p.x.alias("x"), (p.y * factor).alias("y"), p.z.alias("z"))
+    first, rest = F.array(drawn(F.col("s")[0]["a"])), F.transform("s", lambda x: drawn(x["b"]))
+    return g.select("request_id", "leg", "run", F.concat(first, rest).alias("points"))
 
 
 def visible_runs(walk: DataFrame, elevations: list[float]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import durable
+from .graph import stored
 from .guidance import route_lines
 
 
@@ -49,30 +49,63 @@ def outcomes(asked: DataFrame, found: DataFrame) -> DataFrame:
     return d.withColumns({"reason": F.when(lost, why).otherwise(F.col("reason")), "status": F.when(lost, "unreachable").otherwise(F.coalesce("status", F.lit("ok"))), "distance_m": metres})
 
 
-def shortest(arcs: DataFrame, sources: DataFrame, max_rounds: int = 5000, goals: DataFrame | None = None) -> DataFrame:
+def located(arcs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """arcs with the place of their far end (x, y, z), and for each profile the least cost of a straight metre (rate): no way
+    between two places costs less than the metres between them at that rate. nodes: id, x, y, z."""
+    at = lambda end, names: nodes.select(F.col("id").alias(end), *[F.col(c).alias(n) for c, n in zip("xyz", names)])
+    d = arcs.join(at("from_id", ("ax", "ay", "az")), "from_id").join(at("to_id", "xyz"), "to_id")
+    straight = F.sqrt((F.col("x") - F.col("ax")) ** 2 + (F.col("y") - F.col("ay")) ** 2 + (F.col("z") - F.col("az")) ** 2)
+    d = stored(d.withColumn("straight", straight))
+    rates = d.where("straight > 0").groupBy("profile").agg(F.greatest(F.lit(0.0), F.min(F.col("cost") / F.col("straight"))).alias("rate"))
+    return d.drop("straight", "ax", "ay", "az"), rates
+
+
+def boxes(goals: DataFrame, nodes: DataFrame, rates: DataFrame) -> DataFrame:
+    """profile, source, rate and the box (x0 to z1) that holds the goals of a search."""
+    at = nodes.select(F.col("id").alias("node"), "x", "y", "z")
+    sides = [f(c).alias(f"{c}{i}") for i, f in ((0, F.min), (1, F.max)) for c in "xyz"]
+    box = goals.join(at, "node").groupBy("profile", "source").agg(*sides)
+    return box.join(F.broadcast(rates), "profile", "left").withColumn("rate", F.coalesce("rate", F.lit(0.0)))  # a row a profile
+
+
+def shortest(arcs: DataFrame, sources: DataFrame, max_rounds: int = 5000, goals: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
     """profile, source, node, cost, distance_m, pred, arc: least costs from each (profile, source) to the nodes reached.
 
-    Each round relaxes the arcs of the rows that improved last and folds them in with one minimum by key; ties go to
-    the smaller predecessor and arc. arcs: profile, from_id, to_id, id, cost, distance_m. With goals (profile, source,
-    node) a search goes no further than its dearest goal, once it has reached all of them: rows beyond are left out.
-    A search that isn't done after ``max_rounds`` (arcs of a way) is an error, never a partial result.
+    Each round relaxes the arcs of the rows that improved last and folds them in with one minimum by key; ties go to the
+    smaller predecessor and arc. arcs: profile, from_id, to_id, id, cost, distance_m. With goals
+    (profile, source, node) a search goes no further than its dearest goal, once it has reached all of them: rows beyond
+    are left out. With nodes (id, x, y, z) as well, a step is left out as soon as its cost and the least cost of the
+    straight metres from there to the goals' box exceed the dearest goal. A search that isn't done after ``max_rounds``
+    (arcs of a way) is an error, never a partial result.
     """
-    a = durable(arcs.repartition("profile", "from_id"))
-    state = sources.select("profile", F.col("node_id").alias("source"), F.col("node_id").alias("node")).distinct()
+    keys = ["profile", "source", "node"]
+    box = None
+    if goals is not None:
+        goals = stored(goals.select(*keys).distinct())
+        if nodes is not None:
+            arcs, rates = located(arcs, nodes)
+            box = stored(boxes(goals, nodes, rates))
+    a = stored(arcs.withColumnRenamed("id", "arc").repartition("profile", "from_id"))
+    start = sources.select("profile", F.col("node_id").alias("source"), F.col("node_id").alias("node")).distinct()
     none = F.lit(None).cast("string")
-    state = durable(state.select("*", F.lit(0.0).alias("cost"), F.lit(0.0).alias("distance_m"), none.alias("pred"), none.alias("arc"), F.lit(True).alias("new")))
-    goals = durable(goals.select("profile", "source", "node").distinct()) if goals is not None else None
+    state = stored(start.select("*", F.lit(0.0).alias("cost"), F.lit(0.0).alias("distance_m"), none.alias("pred"), none.alias("arc"), F.lit(True).alias("new")))
     for _ in range(max_rounds):
         front = state.where("new")
-        if goals is not None:
-            far = goals.join(state.select("profile", "source", "node", "cost"), ["profile", "source", "node"], "left")
-            far = far.groupBy("profile", "source").agg(F.max(F.coalesce("cost", F.lit(float("inf")))).alias("dearest"))
+        if goals is not None:  # what the dearest goal of a search costs so far
+            far = goals.join(state.select(*keys, "cost"), keys, "left").groupBy("profile", "source").agg(F.max(F.coalesce("cost", F.lit(float("inf")))).alias("dearest"))
+            if box is not None:
+                far = far.join(box, ["profile", "source"], "left")
             front = front.join(far, ["profile", "source"]).where("cost < dearest")
-        front = front.select("profile", "source", F.col("node").alias("from_id"), F.col("cost").alias("so_far"), F.col("distance_m").alias("walked"))
-        step = front.join(a, ["profile", "from_id"]).select("profile", "source", F.col("to_id").alias("node"), (F.col("so_far") + F.col("cost")).alias("cost"), (F.col("walked") + F.col("distance_m")).alias("distance_m"), F.col("from_id").alias("pred"), F.col("id").alias("arc"), F.lit(True).alias("new"))
+        front = front.withColumnsRenamed({"node": "from_id", "cost": "so_far", "distance_m": "walked"}).drop("pred", "arc", "new")
+        step = front.join(a, ["profile", "from_id"]).withColumn("total", F.col("so_far") + F.col("cost"))
+        if box is not None:
+            off = [F.greatest(F.lit(0.0), F.col(f"{c}0") - F.col(c), F.col(c) - F.col(f"{c}1")) for c in "xyz"]
+            ahead = F.sqrt(off[0] ** 2 + off[1] ** 2 + off[2] ** 2) * F.col("rate")
+            step = step.where(F.col("total") + F.coalesce(ahead, F.lit(0.0)) * (1 - 1e-9) <= F.col("dearest"))
+        step = step.select("profile", "source", F.col("to_id").alias("node"), F.col("total").alias("cost"), (F.col("walked") + F.col("distance_m")).alias("distance_m"), F.col("from_id").alias("pred"), "arc", F.lit(True).alias("new"))
         both = state.withColumn("new", F.lit(False)).unionByName(step)
         best = F.min(F.struct("cost", "new", "pred", "arc", "distance_m")).alias("b")  # at equal cost the known row stays
-        state = durable(both.groupBy("profile", "source", "node").agg(best).select("profile", "source", "node", "b.cost", "b.distance_m", "b.pred", "b.arc", "b.new"))
+        state = stored(both.groupBy(*keys).agg(best).select(*keys, "b.cost", "b.distance_m", "b.pred", "b.arc", "b.new"))
         if not state.where("new").limit(1).count():
             return state.drop("new")
     raise RuntimeError(f"shortest paths did not settle in {max_rounds} rounds")
@@ -87,13 +120,13 @@ def reconstruct(asked: DataFrame, state: DataFrame, max_doublings: int = 40) ->
     keys = ["profile", "source", "node"]
     asked = asked.select(*keys).distinct()
     base = F.regexp_replace("arc", ":reverse$", "")
-    jump = durable(state.select("profile", "source", F.col("node").alias("at"), F.col("pred").alias("up"), F.lit(1).alias("steps")))
-    walk = durable(asked.join(state.select(*keys), keys).select(*keys, F.col("node").alias("at"), F.lit(0).alias("back")))
+    jump = stored(state.select("profile", "source", F.col("node").alias("at"), F.col("pred").alias("up"), F.lit(1).alias("steps")))
+    walk = stored(asked.join(state.select(*keys), keys).select(*keys, F.col("node").alias("at"), F.lit(0).alias("back")))
     for _ in range(max_doublings):
         ahead = walk.join(jump.where("up is not null"), ["profile", "source", "at"]).select(*keys, F.col("up").alias("at"), (F.col("back") + F.col("steps")).alias("back"))
-        walk = durable(walk.unionByName(ahead))
+        walk = stored(walk.unionByName(ahead))
         above = jump.select("profile", "source", F.col("at").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("steps2"))
-        jump = durable(jump.where("up is not null").join(above, ["profile", "source", "up"]).select("profile", "source", "at", F.col("up2").alias("up"), (F.col("steps") + F.col("steps2")).alias("steps")).where("up is not null"))
+        jump = stored(jump.where("up is not null").join(above, ["profile", "source", "up"]).select("profile", "source", "at", F.col("up2").alias("up"), (F.col("steps") + F.col("steps2")).alias("steps")).where("up is not null"))
         if not jump.limit(1).count():
             break
     else:
@@ -105,30 +138,39 @@ def reconstruct(asked: DataFrame, state: DataFrame, max_doublings: int = 40) ->
     return asked.join(paths, keys, "left").join(state.select(*keys, "cost", "distance_m"), keys, "left")
 
 
-def plans(requests: DataFrame, places: DataFrame, arcs: DataFrame, bounded: bool = False) -> DataFrame:
-    """One row a request: request_id, profile, status, reason, node_ids, edge_ids, network_m, access_m, total_m.
+def plans(requests: DataFrame, places: DataFrame, arcs: DataFrame, bounded: bool = False, nodes: DataFrame | None = None, parts: DataFrame | None = None) -> DataFrame:
+    """One row a request: request_id, profile, status, reason, both places, node_ids, edge_ids, network_m, start_m,
+    destination_m, access_m, total_m.
 
     places: id, routable, node_id, distance_m (of the way to the network), and what classify takes besides. One search
-    a (profile, start node), however many requests share it; total_m is the network's part and both ways to it, to the
-    millimetre, and 0 where there is nowhere to go.
+    a (profile, start node), however many requests share it. nodes (id, x, y, z) let a search be led by its goals; parts
+    (id, root: the network's weak components) spare the search for goals in other parts. start_m and destination_m are the
+    ways to the network, access_m both, total_m with the network's part, to the millimetre; 0 where there is nowhere to go.
     """
-    asked = durable(classify(requests, places, bounded))
+    asked = stored(classify(requests, places, bounded))
     goals = asked.where("status is null").select("profile", F.col("start_node").alias("source"), F.col("destination_node").alias("node")).distinct()
-    state = shortest(arcs, goals.select("profile", F.col("source").alias("node_id")), goals=goals)
+    if parts is not None:
+        of = lambda end: parts.select(F.col("id").alias(end), F.col("root").alias(f"{end}_root"))
+        goals = goals.join(of("source"), "source", "left").join(of("node"), "node", "left")
+        goals = goals.where(F.col("source_root").eqNullSafe(F.col("node_root")) | (F.col("source") == F.col("node"))).select("profile", "source", "node")
+    goals = stored(goals)
+    state = shortest(arcs, goals.select("profile", F.col("source").alias("node_id")), goals=goals, nodes=nodes)
     found = reconstruct(goals, state).select("profile", F.col("source").alias("start_node"), F.col("node").alias("destination_node"), "node_ids", "edge_ids", "distance_m")
     out = outcomes(asked, found).join(found.drop("distance_m"), ["profile", "start_node", "destination_node"], "left")
     way = lambda side: places.select(F.col("id").alias(f"{side}_id"), F.col("distance_m").alias(f"{side}_m"))
     out = out.join(way("start"), "start_id", "left").join(way("destination"), "destination_id", "left")
-    there = F.col("reason") == "already-there"
+    there = F.coalesce(F.col("reason") == "already-there", F.lit(False))
     mm = lambda c: F.floor(c * 1000 + 0.5) / 1000
-    out = out.withColumn("access_m", F.when(F.coalesce(there, F.lit(False)), 0.0).when(F.col("status") == "ok", mm(F.col("start_m") + F.col("destination_m"))))
-    out = out.withColumn("node_ids", F.when(F.coalesce(there, F.lit(False)), F.array("start_node")).otherwise(F.col("node_ids"))).withColumn("edge_ids", F.when(F.coalesce(there, F.lit(False)), F.array().cast("array<string>")).otherwise(F.col("edge_ids")))
-    return out.select("request_id", "profile", "status", "reason", "start_id", "destination_id", "node_ids", "edge_ids", F.col("distance_m").alias("network_m"), "access_m", mm(F.col("distance_m") + F.col("access_m")).alias("total_m"))
+    leg = lambda c: F.when(there, 0.0).when(F.col("status") == "ok", c)
+    out = out.withColumns({"access_m": leg(mm(F.col("start_m") + F.col("destination_m"))), "total_m": leg(mm(F.col("distance_m") + F.col("start_m") + F.col("destination_m"))), "start_m": leg(F.col("start_m")), "destination_m": leg(F.col("destination_m"))})
+    out = out.withColumn("node_ids", F.when(there, F.array("start_node")).otherwise(F.col("node_ids"))).withColumn("edge_ids", F.when(there, F.array().cast("array<string>")).otherwise(F.col("edge_ids")))
+    return out.select("request_id", "profile", "status", "reason", "start_id", "destination_id", "node_ids", "edge_ids", F.col("distance_m").alias("network_m"), "start_m", "destination_m", "access_m", "total_m")
 
 
 def legs(planned: DataFrame, walk: DataFrame, places: DataFrame, nodes: DataFrame) -> DataFrame:
     """request_id, start_access, network, destination_access: the three lines of found routes. walk: request_id, pos and
-    the ends of its arcs (x0 to z1); places and nodes have x, y, z."""
+    the ends of its arcs (x0 to z1) or their lines (see network.drawn); places and nodes have x, y, z. A way that has no
+    arc has no network line."""
     at = lambda t, side: t.select(F.col("id").alias(side), F.struct("x", "y", "z").alias(f"{side}_at"))
     ok = planned.where("status = 'ok' and reason is null")
     ends = ok.select("request_id", "start_id", "destination_id", F.element_at("node_ids", 1).alias("first"), F.element_at("node_ids", -1).alias("last"))

@@ -56,6 +56,19 @@ where b is not null""",
     "ends": f"""
 select o_orderkey as request_id, {_floor("o_orderkey")} as start_floor, (o_custkey % 4)*2.5e0 as start_m, {_floor("o_custkey")} as destination_floor, (o_custkey % 7)*1.5e0 as destination_m,
        case o_orderpriority when '2-HIGH' then 'accessible' else 'shortest' end as profile from {{orders}}""",
+    # A place beside each node, up to 3.75 m away; some can't be reached, some aren't known to be accessible.
+    "stops": """
+select concat('stop:', id) as id, id as node_id, floor_id, (k % 4)*1.25e0 as distance_m, k % 29 <> 0 as routable,
+       case when k % 31 = 0 then 'no' when k % 5 = 0 then 'unknown' else 'yes' end as accessibility, x + (k % 4)*0.75e0 as x, y, z + (k % 4)*1.0e0 as z
+from (select *, cast(substr(id, 2) as bigint) as k from {nodes}) as numbered""",
+    # Three arcs from each arc on, so that most trips have a way; some go to the first station instead, some to no place.
+    "trips": """
+select distinct concat(d.id, ':', d.from_id, ':', d.to_id) as request_id, concat('stop:', d.from_id) as start_id,
+       case when o % 41 = 0 then 'stop:none' when o % 13 = 0 then 'stop:S1' else concat('stop:', coalesce(c.to_id, b.to_id, d.to_id)) end as destination_id,
+       case o % 5 when 0 then 'shortest' when 1 then 'accessible' when 2 then 'avoid-stairs' when 3 then 'prefer-elevator' else 'fewest-floor-changes' end as profile
+from (select *, cast(split_part(id, '-', 1) as bigint) as o from (select id, from_id, to_id from {edges} as e where direction <> 'reverse' union all select id, to_id, from_id from {edges} as f where direction <> 'forward') as arcs0) as d
+left join (select from_id, min(to_id) as to_id from (select from_id, to_id from {edges} as e where direction <> 'reverse' union all select to_id, from_id from {edges} as f where direction <> 'forward') as arcs1 group by from_id) as b on d.to_id = b.from_id
+left join (select from_id, min(to_id) as to_id from (select from_id, to_id from {edges} as e where direction <> 'reverse' union all select to_id, from_id from {edges} as f where direction <> 'forward') as arcs2 group by from_id) as c on b.to_id = c.from_id""",
     # One feature a part: points of facilities, and L-shaped polygons of 2w a side around the others.
     "features": f"""
 select concat('f', p_partkey) as id, p_partkey as source_record, p_brand as area,
@@ -75,14 +88,14 @@ select concat('R', s_suppkey) as id, concat('gate:o', p_partkey) as place_id, ca
        case when s_suppkey % 4 = 0 then 'B2' else {_floor("p_size")} end as floor_id, (p_partkey % 89)*3.1e0 + 1.0e0 as x, {_elev("p_size")} as y, floor(p_partkey/89.0e0)*3.1e0 + s_suppkey % 5 as z
 from {{supplier}} join {{part}} on p_partkey = s_suppkey*2""",
 }
-_INPUTS = {"nodes": ("part", "supplier", "nation"), "edges": ("lineitem",), "places": ("customer",), "requests": ("orders", "customer"), "walks": ("lineitem",), "ends": ("orders",), "features": ("part",), "openings": ("part",), "reviewed": ("supplier", "part")}
+_INPUTS = {"nodes": ("part", "supplier", "nation"), "edges": ("lineitem",), "places": ("customer",), "requests": ("orders", "customer"), "stops": ("nodes",), "trips": ("edges",), "walks": ("lineitem",), "ends": ("orders",), "features": ("part",), "openings": ("part",), "reviewed": ("supplier", "part")}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table, or a given one by its name."""
     if name not in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spark.sql(TABLES[name], **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _INPUTS[name]})
+    return spark.sql(TABLES[name], **{t: table(spark, sf_dir, t) for t in _INPUTS[name]})
 
 
 def ctes(*names: str) -> str:

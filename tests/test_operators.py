@@ -142,17 +142,3 @@ def test_shapes(spark, tmp_path):
     r = shapes.inspect(spark, str(tmp_path)).first()
     assert r.missing == ["shx", "prj"] and r.feasible
     assert shapes.checksums(spark, str(tmp_path)).count() == 2
-
-
-def test_request_stream(spark, tmp_path):
-    from wayfold.streaming import requests
-
-    schema = "event_id long, ts timestamp, user_id long, props string"
-    rows = spark.createDataFrame([(1, None, 1, '{"k": 2}'), (2, None, 1, '{"k": 1}'), (3, None, 1, '{"k": 9}')], schema)
-    rows.write.parquet(str(tmp_path / "in"))
-    stream = requests.requests_from_events(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
-    known = spark.createDataFrame([("customer:1", True, "s"), ("customer:2", True, "g")], "id string, routable boolean, node_id string")
-    q = requests.plan_stream(stream, known, graph.profile_arcs(profile_graph(spark)), str(tmp_path / "out"), str(tmp_path / "cp"))
-    q.awaitTermination()
-    got = {r.request_id: (r.status, r.cost) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {1: ("ok", 2.0), 2: ("ok", 0.0), 3: ("invalid-place", None)}

@@ -17,7 +17,7 @@ TRANSITION_SECONDS = {"stairs": 15, "escalator": 20, "elevator": 45}
 # Fixed source codes.
 DIRECTIONS = {"1": "both", "2": "forward", "3": "reverse"}
 MOVEMENTS = {"4": "elevator", "5": "escalator", "6": "stairs"}
-IN_OUT = {"1": "inside", "2": "outside", "3": "boundary"}
+IN_OUT = {"1": "outside", "2": "boundary", "3": "inside"}
 
 
 def round_mm(x: Column) -> Column:

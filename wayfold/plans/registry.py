@@ -57,10 +57,11 @@ def floors(s: SparkSession, d: str) -> DataFrame:
 
 
 @query("""select p_partkey as id, case p_size % 5 when 1 then 'both' when 2 then 'forward' when 3 then 'reverse' end as direction,
-case p_size % 8 when 4 then 'elevator' when 5 then 'escalator' when 6 then 'stairs' else 'corridor' end as movement from part""")
+case p_size % 8 when 4 then 'elevator' when 5 then 'escalator' when 6 then 'stairs' else 'corridor' end as movement,
+case p_size % 4 when 1 then 'outside' when 2 then 'boundary' when 3 then 'inside' end as in_out from part""")
 def decoded_codes(s: SparkSession, d: str) -> DataFrame:
     code = lambda n: (F.col("p_size") % n).cast("string")
-    return table(s, d, "part").select(F.col("p_partkey").alias("id"), scalars.decode(code(5), scalars.DIRECTIONS).alias("direction"), scalars.decode(code(8), scalars.MOVEMENTS, "corridor").alias("movement"))
+    return table(s, d, "part").select(F.col("p_partkey").alias("id"), scalars.decode(code(5), scalars.DIRECTIONS).alias("direction"), scalars.decode(code(8), scalars.MOVEMENTS, "corridor").alias("movement"), scalars.decode(code(4), scalars.IN_OUT).alias("in_out"))
 
 
 @query("""

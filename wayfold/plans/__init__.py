@@ -1,2 +1,2 @@
 
-from . import building, guidance, maps, network, registry, trips  # noqa: F401  each module registers its queries
+from . import building, guidance, maps, network, registry, reports, trips  # noqa: F401  each module registers its queries

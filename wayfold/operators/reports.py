@@ -108,3 +108,44 @@ def document_issues(raw_nodes: DataFrame, raw_links: DataFrame, floors: dict[flo
     rows = [(severity, code, None, stated[k], None) for k, most, code, severity in heads if stated.get(k, 0) > most]
     found.append(d.sparkSession.createDataFrame(rows, "severity string, code string, source_id string, n long, raw string"))
     return reduce(DataFrame.unionByName, [f.select(*_ISSUE) for f in found])
+
+
+def header_issues(raw: DataFrame, keys: dict[str, list[str]], expected: dict[str, str | float], counts: dict[str, str], bounds: dict[str, list[str]]) -> DataFrame:
+    """source_id, code, level, key, n: where whole JSON documents (source_id, value) differ from what they have to be.
+
+    keys: the exact keys of the objects at a path (``$``, ``$.axes``, or each element of an array: ``$.nodes[*]``), told by
+    missing-key, unsupported-key (n: elements) and not-an-object; expected: values at paths (header-mismatch); counts: paths of
+    numbers that an array at another path must have as length (count-mismatch); bounds: axes of objects with
+    min<axis> and max<axis>, in order (bounds-order, also where one is no number). Text that is no JSON, or has a key twice
+    in an object, is malformed and nothing else; a null document as well.
+    """
+    d = raw.withColumn("v", F.try_parse_json("value"))
+    at = lambda path, kind="variant": F.try_variant_get("v", path, kind)
+    text = lambda path: F.to_json(at(path))  # noqa: E731  texts stay in quotes
+    issue = lambda code, level, key=None, n=1: F.struct(F.lit(code).alias("code"), F.lit(level).alias("level"), (F.lit(None).cast("string") if key is None else key).alias("key"), F.lit(n).cast("long").alias("n"))
+    named = lambda code, level: lambda k: issue(code, level, k)
+    found = []
+    for level, names in keys.items():
+        each = F.transform(at(level[:-3], "array<variant>"), lambda e: F.to_json(e)) if level.endswith("[*]") else F.array(text(level))
+        own = lambda e: F.json_object_keys(e)
+        objects = F.coalesce(F.filter(F.coalesce(each, F.array(F.lit(None).cast("string"))), lambda e: own(e).isNotNull()), F.array().cast("array<string>"))
+        others = F.coalesce(F.size(each), F.lit(1)) - F.size(objects)
+        required = F.array(*map(F.lit, names))
+        sides = [("missing-key", F.transform(objects, lambda e: F.array_except(required, own(e)))), ("unsupported-key", F.transform(objects, lambda e: F.array_except(own(e), required)))]
+        for code, lists in sides:
+            found.append(F.transform(F.flatten(lists), named(code, level)))
+        found.append(F.when(others > 0, F.array(F.struct(F.lit("not-an-object").alias("code"), F.lit(level).alias("level"), F.lit(None).cast("string").alias("key"), others.cast("long").alias("n")))))
+    for path, value in expected.items():
+        same = (text(path) == F.to_json(F.try_parse_json(F.lit(f'"{value}"')))) if isinstance(value, str) else (at(path, "double") == value) & ~text(path).startswith('"')
+        found.append(F.when(~F.coalesce(same, F.lit(False)), F.array(issue("header-mismatch", path))))
+    for path, array in counts.items():
+        same = (at(path, "long") == F.size(at(array, "array<variant>"))) & ~text(path).startswith('"')
+        found.append(F.when(~F.coalesce(same, F.lit(False)), F.array(issue("count-mismatch", path))))
+    for path, axes in bounds.items():
+        for axis in axes:
+            in_order = at(f"{path}.min{axis}", "double") <= at(f"{path}.max{axis}", "double")
+            found.append(F.when(~F.coalesce(in_order, F.lit(False)), F.array(issue("bounds-order", path, F.lit(axis)))))
+    none = F.array().cast("array<struct<code: string, level: string, key: string, n: long>>")
+    every = F.when(F.col("v").isNull(), F.array(issue("malformed", "$"))).otherwise(F.flatten(F.array(*[F.coalesce(f, none) for f in found])))
+    each = d.select("source_id", F.explode(every).alias("i")).select("source_id", "i.*")
+    return each.groupBy("source_id", "code", "level", "key").agg(F.sum("n").alias("n"))

@@ -94,3 +94,31 @@ def broken_document_issues(s: SparkSession, d: str) -> DataFrame:
     nodes, links, stated = _document(s, d, True)
     i = reports.document_issues(nodes, links, FLOORS, stated)
     return i.withColumn("n", F.when(F.length("raw") == 10, F.lit(10).cast("long")).otherwise(F.col("n"))).drop("raw")
+
+
+KEYS = {"$": ["schemaVersion", "coordinateSystem", "nodes", "statistics"], "$.coordinateSystem": ["units", "axes"], "$.coordinateSystem.axes": ["x", "y", "z"], "$.nodes[*]": ["id", "distance"], "$.statistics": ["nodeCount", "bounds"]}
+HEADER = {"$.schemaVersion": 1, "$.coordinateSystem.units": "meters", "$.coordinateSystem.axes.x": "east", "$.coordinateSystem.axes.y": "vertical", "$.coordinateSystem.axes.z": "south"}
+
+
+@query("""with d as (select l_orderkey as source_id, count(*) as c from lineitem group by all)
+select source_id, 'missing-key' as code, '$' as level, 'schemaVersion' as key, 1 as n from d where source_id % 5 = 0 union all
+select source_id, 'unsupported-key', '$', 'extra', 1 from d where source_id % 17 = 0 union all
+select source_id, 'header-mismatch', '$.schemaVersion', null, 1 from d where source_id % 5 = 0 union all
+select source_id, 'header-mismatch', '$.coordinateSystem.units', null, 1 from d where source_id % 6 = 0 union all
+select source_id, 'missing-key', '$.coordinateSystem.axes', 'z', 1 from d where source_id % 9 = 0 union all
+select source_id, 'header-mismatch', '$.coordinateSystem.axes.z', null, 1 from d where source_id % 9 = 0 union all
+select source_id, 'unsupported-key', '$.nodes[*]', 'note', c from d where source_id % 13 = 0 union all
+select source_id, 'count-mismatch', '$.statistics.nodeCount', null, 1 from d where source_id % 8 = 0 union all
+select source_id, 'bounds-order', '$.statistics.bounds', 'X', 1 from d where source_id % 10 = 0""")
+def document_headers(s: SparkSession, d: str) -> DataFrame:
+    """A document for each order, some with keys too many or too few, other units, wrong counts or turned bounds."""
+    k = F.col("source_id")
+    some = lambda n, v: F.when(k % n == 0, F.lit(v))  # noqa: E731  fields that are null aren't written
+    node = F.struct(F.col("l_linenumber").alias("id"), F.col("l_quantity").alias("distance"), some(13, "by hand").alias("note"))
+    docs = table(s, d, "lineitem").withColumnRenamed("l_orderkey", "source_id").groupBy("source_id").agg(F.collect_list(node).alias("nodes"))  # seven lines at most
+    axes = F.struct(F.lit("east").alias("x"), F.lit("vertical").alias("y"), F.when(k % 9 != 0, "south").alias("z"))
+    system = F.struct(F.coalesce(some(6, "feet"), F.lit("meters")).alias("units"), axes.alias("axes"))
+    bounds = F.struct(F.coalesce(some(10, 5.0), F.lit(0.0)).alias("minX"), F.lit(1.0).alias("maxX"))
+    statistics = F.struct((F.size("nodes") + F.coalesce(some(8, 1), F.lit(0))).alias("nodeCount"), bounds.alias("bounds"))
+    value = F.struct(F.when(k % 5 != 0, 1).alias("schemaVersion"), some(17, "x").alias("extra"), system.alias("coordinateSystem"), "nodes", statistics.alias("statistics"))
+    return reports.header_issues(docs.select("source_id", F.to_json(value).alias("value")), KEYS, HEADER, {"$.statistics.nodeCount": "$.nodes"}, {"$.statistics.bounds": ["X"]})

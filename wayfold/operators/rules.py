@@ -70,15 +70,20 @@ def place_issues(places: DataFrame, nodes: DataFrame) -> DataFrame:
     return quality.issues(d, "id", rules).unionByName(quality.repeated(places, "id"))
 
 
-def reviewed_issues(nodes: DataFrame, edges: DataFrame, attachments: DataFrame, official_nodes: DataFrame, official_edges: DataFrame, floors: list[str]) -> DataFrame:
-    """What a reviewed network breaks. nodes: id, floor_id, role, x, y, z; edges: id, from_id, to_id, direction, kind,
-    accessibility, distance_m; attachments: place_id, node_id."""
-    n = nodes.join(official_nodes.select("id", F.lit(True).alias("taken")), "id", "left")
+def reviewed_node_issues(nodes: DataFrame, official_nodes: DataFrame, floors: list[str]) -> DataFrame:
+    """What reviewed nodes (id, floor_id, role) break."""
+    n = nodes.join(official_nodes.select("id", F.lit(True).alias("taken")).distinct(), "id", "left")
     found = quality.issues(n, "id", {"node-id-taken": F.col("taken").isNull(), "floor-unknown": F.col("floor_id").isin(floors), "role-unknown": F.col("role").isin("gate", "turn")})
-    found = found.unionByName(quality.repeated(nodes, "id"))
+    return found.unionByName(quality.repeated(nodes, "id"))
+
+
+def reviewed_edge_issues(nodes: DataFrame, edges: DataFrame, official_nodes: DataFrame, official_edges: DataFrame) -> DataFrame:
+    """What reviewed edges (id, from_id, to_id, direction, kind, accessibility, distance_m, and perhaps points) break. Lines
+    have two points, which are those of the nodes they name; ids of nodes are unique."""
     every = nodes.select("id", "floor_id", "x", "y", "z").unionByName(official_nodes.select("id", "floor_id", "x", "y", "z"))
     end = lambda e: every.select(F.col("id").alias(f"{e}_id"), F.col("floor_id").alias(f"{e}_floor"), F.struct("x", "y", "z").alias(e))
-    d = edges.join(end("from"), "from_id", "left").join(end("to"), "to_id", "left").join(official_edges.select("id", F.lit(True).alias("taken")), "id", "left")
+    taken = official_edges.select("id", F.lit(True).alias("taken")).distinct()
+    d = edges.join(end("from"), "from_id", "left").join(end("to"), "to_id", "left").join(taken, "id", "left")
     both = F.col("from").isNotNull() & F.col("to").isNotNull()
     rules = {
         "edge-id-taken": F.col("taken").isNull(),
@@ -90,8 +95,22 @@ def reviewed_issues(nodes: DataFrame, edges: DataFrame, attachments: DataFrame,
         "distance-not-positive": F.col("distance_m") > 0,
         "distance-mismatch": ~both | (F.abs(geometry.length_3d(F.array("from", "to")) - F.col("distance_m")) <= SAME_M),
     }
-    found = found.unionByName(quality.issues(d, "id", rules)).unionByName(quality.repeated(edges, "id"))
+    if "points" in edges.columns:
+        same = lambda p, q: (F.abs(p.x - q.x) <= SAME_M) & (F.abs(p.y - q.y) <= SAME_M) & (F.abs(p.z - q.z) <= SAME_M)
+        rules["not-two-points"] = F.size("points") == 2
+        rules["ends-mismatch"] = ~both | (same(F.get("points", F.lit(0)), F.col("from")) & same(F.get("points", F.lit(1)), F.col("to")))
+    return quality.issues(d, "id", rules).unionByName(quality.repeated(edges, "id"))
+
+
+def attachment_issues(nodes: DataFrame, attachments: DataFrame) -> DataFrame:
+    """What attachments (place_id, node_id) of places to reviewed gates break."""
     a = attachments.join(nodes.select(F.col("id").alias("node_id"), "role"), "node_id", "left")
-    found = found.unionByName(quality.issues(a, "place_id", {"not-a-gate": F.col("role") == "gate"}))
+    found = quality.issues(a, "place_id", {"not-a-gate": F.col("role") == "gate"})
     twice = quality.repeated(attachments, "place_id").select("source_id", F.lit("place-attached-twice").alias("code"))
     return found.unionByName(twice).unionByName(quality.repeated(attachments, "node_id").select("source_id", F.lit("gate-attached-twice").alias("code")))
+
+
+def reviewed_issues(nodes: DataFrame, edges: DataFrame, attachments: DataFrame, official_nodes: DataFrame, official_edges: DataFrame, floors: list[str]) -> DataFrame:
+    """What a reviewed network breaks. nodes: id, floor_id, role, x, y, z; edges and attachments as above."""
+    found = reviewed_node_issues(nodes, official_nodes, floors).unionByName(reviewed_edge_issues(nodes, edges, official_nodes, official_edges))
+    return found.unionByName(attachment_issues(nodes, attachments))

@@ -138,30 +138,37 @@ def place_issues(s: SparkSession, d: str) -> DataFrame:
 
 @query("""with n as (select case when cast(substr(id, 2) as bigint) % 9 = 0 then 'P' || substr(id, 2) else id end as id, place_id, case when role='turn' then 'door' else role end as role, floor_id, x, y, z from reviewed),
 o as (select id, floor_id, x, y, z from nodes), v as (select id, floor_id, x, y, z from n where id like 'R%' union all select * from o),
-e as (select concat('review:', id) as id, id as from_id, concat('P', substr(id, 2)) as to_id, cast(substr(id, 2) as bigint) as k from n),
+oe as (select from_id, min(id) as oid from edges group by all),
+e as (select coalesce(case when cast(substr(n.id, 2) as bigint) % 7 = 2 then oid end, concat('review:', n.id)) as id, n.id as from_id, concat('P', substr(n.id, 2)) as to_id, cast(substr(n.id, 2) as bigint) as k from n left join oe on oe.from_id = concat('S', substr(n.id, 2))),
 j as (select e.*, a.floor_id as af, b.floor_id as bf from e left join v a on e.from_id=a.id left join v b on e.to_id=b.id), a as (select case when cast(substr(id, 2) as bigint) % 5 = 0 then 'gate:x' else place_id end as place_id, id as node_id, role from n)
 select id as source_id, 'node-id-taken' as code from n where id in (select id from o) union all select id, 'role-unknown' from n where role='door' union all select id, 'floor-unknown' from n where floor_id='2'
 union all select id, 'end-missing' from j where af is null or bf is null union all select id, 'leaves-floor' from j where af<>bf union all select id, 'not-both-ways' from j where k % 4 = 1 union all select id, 'accessibility-claimed' from j where k % 3 = 0
 union all select id, 'distance-not-positive' from j where k % 10 = 3 union all select id, 'distance-mismatch' from j where k % 10 = 3 and af is not null and bf is not null
-union all select place_id, 'not-a-gate' from a where role<>'gate' union all select place_id, 'place-attached-twice' from a group by place_id having count(*) > 1""", "nodes", "reviewed")
+union all select place_id, 'not-a-gate' from a where role<>'gate' union all select place_id, 'place-attached-twice' from a group by place_id having count(*) > 1
+union all select id, 'edge-id-taken' from e where id not like 'review:%' union all select id, 'not-two-points' from j where k % 10 = 7
+union all select id, 'ends-mismatch' from j where k % 10 in (5, 7) and af is not null and bf is not null""", "nodes", "edges", "reviewed")
 def reviewed_network_issues(s: SparkSession, d: str) -> DataFrame:
-    """A reviewed network with taken ids, unknown roles, one-way edges, claims and wrong distances."""
+    """A reviewed network with taken ids, unknown roles, one-way edges, claims, wrong distances and lines."""
     o = table(s, d, "nodes")
     k = F.substring("id", 2, 20).cast("long")
     n = table(s, d, "reviewed").withColumn("k", k).withColumn("id", F.when(F.col("k") % 9 == 0, F.concat(F.lit("P"), F.substring("id", 2, 20))).otherwise(F.col("id"))).withColumn("role", F.when(F.col("role") == "turn", "door").otherwise(F.col("role")))
     own = n.where("id like 'R%'")
     at = lambda end: own.select("id", "x", "y", "z").unionByName(o.select("id", "x", "y", "z")).select(F.col("id").alias(f"{end}_id"), *[F.col(c).alias(f"{end}_{c}") for c in "xyz"])
-    e = n.select(F.concat(F.lit("review:"), "id").alias("id"), F.col("id").alias("from_id"), F.concat(F.lit("P"), F.substring("id", 2, 20)).alias("to_id"), "k")
+    official_edges = table(s, d, "edges")
+    known = official_edges.groupBy("from_id").agg(F.min("id").alias("oid"))
+    e = n.withColumn("number", F.substring("id", 2, 20)).join(known.select(F.substring("from_id", 2, 20).alias("number"), "oid"), "number", "left")
+    e = e.select(F.coalesce(F.when(F.col("k") % 7 == 2, F.col("oid")), F.concat(F.lit("review:"), "id")).alias("id"), F.col("id").alias("from_id"), F.concat(F.lit("P"), "number").alias("to_id"), "k")
     e = e.join(at("from"), "from_id", "left").join(at("to"), "to_id", "left")
     m = F.sqrt(sum(((F.col(f"from_{c}") - F.col(f"to_{c}")) ** 2 for c in "xyz"), F.lit(0.0)))
     m = F.when(F.col("k") % 10 == 3, -1.0).otherwise(F.greatest(F.coalesce(m, F.lit(1.0)), F.lit(1e-6)))
-    e = e.select("id", "from_id", "to_id", F.when(F.col("k") % 4 == 1, "forward").otherwise("both").alias("direction"), F.lit("gate").alias("kind"), F.when(F.col("k") % 3 == 0, "yes").otherwise("unknown").alias("accessibility"), m.alias("distance_m"))
+    first = F.struct((F.col("from_x") + F.when(F.col("k") % 10 == 5, 1.0).otherwise(0.0)).alias("x"), F.col("from_y").alias("y"), F.col("from_z").alias("z"))
+    line = F.array(first, F.struct(*[F.col(f"to_{c}").alias(c) for c in "xyz"]))
+    line = F.when(F.col("k") % 10 == 7, F.slice(line, 1, 1)).otherwise(line)
+    e = e.select("id", "from_id", "to_id", F.when(F.col("k") % 4 == 1, "forward").otherwise("both").alias("direction"), F.lit("gate").alias("kind"), F.when(F.col("k") % 3 == 0, "yes").otherwise("unknown").alias("accessibility"), m.alias("distance_m"), line.alias("points"))
     a = n.select(F.when(F.col("k") % 5 == 0, "gate:x").otherwise(F.col("place_id")).alias("place_id"), F.col("id").alias("node_id"))
     official = o.select("id", "floor_id", "x", "y", "z")
-    found = rules.reviewed_issues(n.where("id like 'R%'"), e, a.where("node_id like 'R%'"), official, table(s, d, "edges"), ["B2", "B1", "0", "1"])
-    # nodes whose ids are taken are judged apart, so that each id stands for one node
-    taken = rules.reviewed_issues(n.where("id like 'P%'"), e.limit(0), a.where("node_id like 'P%'"), official, table(s, d, "edges"), ["B2", "B1", "0", "1"])
-    return found.where("code != 'place-attached-twice'").unionByName(taken.where("code != 'place-attached-twice'")).unionByName(quality.repeated(a, "place_id").select("source_id", F.lit("place-attached-twice").alias("code")))
+    found = rules.reviewed_node_issues(n, official, ["B2", "B1", "0", "1"]).unionByName(rules.attachment_issues(n, a))
+    return found.unionByName(rules.reviewed_edge_issues(own, e, official, official_edges))  # a taken id stands for its official node
 
 
 @query("with n as (select id, row_number() over (order by id) - 1 as at, count(*) over () as of_ from nodes), q as (select unnest(range(40)) as pair), p as (select unnest(['shortest','accessible','avoid-stairs','prefer-elevator','fewest-floor-changes']) as profile) select pair::bigint as pair, profile, a.id as start_id, b.id as goal_id from q, p, n a, n b where a.at = (pair*17) % a.of_ and b.at = (pair*43+29) % b.of_", "nodes")

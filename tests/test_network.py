@@ -143,3 +143,13 @@ def test_file_headers(spark, tmp_path):
     assert got["h"].warnings == ["shp: no header"] and not got["h"].feasible
     found = {r.path.rsplit("/", 1)[1]: (r.facility, r.floor, r.layer) for r in files.discover(spark, str(tmp_path)).collect()}
     assert found == {"g_0_Floor.shp": ("g", "0", "Floor"), "h.shp": (None, None, None)}
+
+
+def test_deviations_and_connectors(spark):
+    schema = "request_id int, edge_ids array<string>"
+    plan = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["a", "x", "c"]), (3, ["a"]), (4, ["a", "b"]), (5, []), (6, None)], schema)
+    golden = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["a", "b", "c"]), (3, ["a", "b"]), (4, ["a"]), (5, []), (6, None), (7, ["z"])], schema)
+    got = {r.request_id: (r.position, r.expected, r.found) for r in routing.deviations(plan, golden).collect()}
+    assert got == {2: (1, "b", "x"), 3: (1, "b", None), 4: (1, None, "b"), 7: (0, "z", None)}
+    walk = spark.createDataFrame([(1, 2, "stairs", "0", "1"), (1, 0, "elevator", "B1", "0"), (1, 1, "corridor", "0", "0"), (2, 0, "corridor", "0", "0")], "request_id int, pos int, kind string, floor_from string, floor_to string")
+    assert [(r.request_id, [tuple(c) for c in r.connectors]) for r in routing.connectors(walk).collect()] == [(1, [("elevator", "B1", "0"), ("stairs", "0", "1")])]

@@ -187,3 +187,23 @@ def regressions(planned: DataFrame, golden: DataFrame, tolerance_m: float = 0.00
     d = g.join(planned.withColumn("there", F.lit(True)), "request_id", "left")
     problem = F.when(F.col("there").isNull(), "missing").when(~F.col("status").eqNullSafe(F.col("g_status")), "status").when(F.abs(F.col("total_m") - F.col("g_total")) > tolerance_m, "distance").when(~F.col("edge_ids").eqNullSafe(F.col("g_edges")), "path")
     return d.select("request_id", problem.alias("problem")).where("problem is not null")
+
+
+def deviations(planned: DataFrame, golden: DataFrame) -> DataFrame:
+    """request_id, position (from 0), expected, found: the first edge in which a plan leaves its golden way (both with
+    request_id, edge_ids). No expected edge: the plan goes on behind the golden end; no found one: it stops before, or there is
+    no plan. Ways without a list are empty; equal ways give no row."""
+    empty = F.array().cast("array<string>")
+    g = golden.select("request_id", F.coalesce("edge_ids", empty).alias("want"))
+    d = g.join(planned.select("request_id", F.col("edge_ids").alias("got")), "request_id", "left").withColumn("got", F.coalesce("got", empty))
+    most = F.greatest(F.size("want"), F.size("got"))
+    differs = F.filter(F.sequence(F.lit(0), most - 1), lambda i: ~F.get("want", i).eqNullSafe(F.get("got", i)))
+    d = d.withColumn("position", F.when(most > 0, F.array_min(differs))).where("position is not null")
+    return d.select("request_id", "position", F.get("want", F.col("position")).alias("expected"), F.get("got", F.col("position")).alias("found"))
+
+
+def connectors(walk: DataFrame) -> DataFrame:
+    """request_id, connectors: kind, floor_from and floor_to of the arcs that change floors, in walking order. Ways on one
+    floor give no row. walk: request_id, pos, kind, floor_from, floor_to."""
+    change = walk.where("floor_from != floor_to")
+    return change.groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "kind", "floor_from", "floor_to"))), lambda s: s.dropFields("pos")).alias("connectors"))

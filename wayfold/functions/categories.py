@@ -45,6 +45,20 @@ def place_category(code: Column) -> Column:
     return looked_up(code, {c: v[0] for c, v in PLACE_CATEGORIES.items()})
 
 
+# Codes of facilities that are no destinations, and why a destination without a place category makes no place.
+NO_DESTINATIONS = ["F016", "F032", "F033", "F034", "F037", "F042", "F046", "F047", "F048", "F049", "F050", "F104"]
+NOT_A_PLACE = "outside-current-named-place-taxonomy"
+
+
+def promotion(code: Column) -> Column:
+    """What becomes of a facility's code: destination, and either the category of its place or why it has none (excluded);
+    both are null for codes that are no destinations."""
+    known = code.isin([c for layer, c, *_ in CATEGORIES if layer == "Facility"])
+    goal = F.coalesce(known & ~code.isin(NO_DESTINATIONS), F.lit(False))
+    excluded = F.when(goal & place_category(code).isNull(), NOT_A_PLACE)
+    return F.struct(goal.alias("destination"), F.when(goal, place_category(code)).alias("category"), excluded.alias("excluded"))
+
+
 def name_ja(code: Column) -> Column:
     return looked_up(code, {c: v[1] for c, v in PLACE_CATEGORIES.items()})
 

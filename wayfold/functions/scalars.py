@@ -60,6 +60,11 @@ def floor_of_ordinal(ordinal: Column) -> Column:
     return F.when(ordinal < 0, F.concat(F.lit("B"), text)).otherwise(text)
 
 
+def in_reading_order(c: str) -> list[Column]:
+    """Sort keys of ids: first the order in which readers look for them (punctuation, digits, letters), then bytes."""
+    return [F.collate(F.col(c), "UNICODE").alias("__reads"), F.col(c)]
+
+
 def decode(code: Column, names: dict[str, str], default: str | None = None) -> Column:
     """The code's name; unknown codes give ``default`` (null: to be reported)."""
     return F.coalesce(F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[code], F.lit(default))

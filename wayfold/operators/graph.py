@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import in_reading_order
+
 PROFILES = ["shortest", "accessible", "avoid-stairs", "prefer-elevator", "fewest-floor-changes"]
 
 
@@ -128,17 +130,19 @@ def ranked(df: DataFrame, order: list, group: tuple[str, ...] = ()) -> DataFrame
 
 
 def component_report(edges: DataFrame) -> DataFrame:
-    """component_id (from 1, largest first, then smallest id), root, size."""
-    sizes = components(edges).groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    return ranked(sizes, [F.desc("size"), F.col("root")]).select(F.col("nth").alias("component_id"), "root", "size")
+    """component_id (from 1, largest first, then by root), root (the first id in reading order), size."""
+    first = F.min(F.struct(*in_reading_order("id"))).alias("first")
+    sizes = components(edges).groupBy("root").agg(F.count(F.lit(1)).alias("size"), first).select("size", F.col("first.id").alias("root"))
+    return ranked(sizes, [F.desc("size"), *in_reading_order("root")]).select(F.col("nth").alias("component_id"), "root", "size")
 
 
 def component_numbers(nodes: DataFrame, edges: DataFrame, order: str = "id") -> DataFrame:
-    """id, component_id (from 0) of all nodes; components are numbered in the order of their first node, a node without
-    edges is one of its own."""
+    """id, component_id (from 0) of all nodes; components are numbered in the order of their first node (texts in reading
+    order), a node without edges is one of its own."""
     d = nodes.select("id", F.col(order).alias("place")).join(components(edges), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    first = d.groupBy("root").agg(F.min(F.struct("place", "id")).alias("first"))
-    numbers = ranked(first, [F.col("first")]).select("root", (F.col("nth") - 1).alias("component_id"))
+    keys = in_reading_order("place") if dict(d.dtypes)["place"].startswith("string") else [F.col("place")]
+    first = d.groupBy("root").agg(F.min(F.struct(*keys, "id")).alias("first")).select("root", "first.place", "first.id")
+    numbers = ranked(first, [*keys, F.col("id")]).select("root", (F.col("nth") - 1).alias("component_id"))
     return d.join(numbers, "root").select("id", "component_id")
 
 

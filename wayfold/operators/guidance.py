@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import geometry, scalars
+from ..functions import geometry, scalars, texts
 
 STRAIGHT_DEGREES = 20
 
@@ -79,6 +79,20 @@ def access_unverified(planned: DataFrame, places: DataFrame) -> DataFrame:
     return d.groupBy("request_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("side", "id"))), lambda s: s["id"]).alias("place_ids"))
 
 
+def warning_texts(fields: DataFrame, access: DataFrame, names: DataFrame) -> DataFrame:
+    """request_id, warning_no (from 1), en, ja: what ``warnings`` and then ``access_unverified`` found, as texts. names:
+    id, en, ja of places (one row an id); a place without a row is called by its id."""
+    cols = ["request_id", "kind", "en", "ja"]
+    unknown = fields.select("request_id", F.lit(1).alias("kind"), *[texts.unknown_fields(F.col("fields"), x).alias(x) for x in ("en", "ja")])
+    a = access.select("request_id", F.posexplode("place_ids").alias("pos", "id")).join(names.select("id", "en", "ja"), "id", "left")
+    called = [F.coalesce(x, "id").alias(x) for x in ("en", "ja")]
+    a = a.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("pos", *called))).alias("called"))  # two ends at most
+    unsure = a.select("request_id", F.lit(2).alias("kind"), *[texts.unverified_access(F.col(f"called.{x}"), x).alias(x) for x in ("en", "ja")])
+    first = unknown.select("request_id", F.lit(True).alias("__both"))
+    both = unsure.join(first, "request_id", "left").withColumn("kind", F.when(F.col("__both"), 2).otherwise(1))
+    return unknown.select(*cols).unionByName(both.select(*cols)).withColumnRenamed("kind", "warning_no")
+
+
 def route_floors(walk: DataFrame) -> DataFrame:
     """request_id, floors: those a route touches, from the lowest."""
     f = walk.select("request_id", F.explode(F.array("floor_from", "floor_to")).alias("floor"))

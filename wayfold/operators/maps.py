@@ -91,6 +91,7 @@ def validation_summary(nodes: DataFrame, edges: DataFrame, ready: DataFrame, tol
     one = F.count(F.lit(1))
     when = lambda c: F.count(F.when(c, 1))
     cross = F.col("floor_from") != F.col("floor_to")
+    ready = graph.stored(ready)  # six counts read it
     ids = nodes.groupBy("id").agg(one.alias("n"))
     used = ready.select(F.col("from_id").alias("id")).unionByName(ready.select(F.col("to_id").alias("id"))).distinct()
     roots = graph.components(ready).where("id = root")

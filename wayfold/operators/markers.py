@@ -22,7 +22,8 @@ def candidates(features: DataFrame, nodes: DataFrame) -> DataFrame:
     z, priority, min_zoom, node_id, distance_m, reason (null: public).
 
     features: id, source_record, area, layer, category, name, floor_id, x, y, z (null x: no point, which then counts as
-    the origin). Of equal public markers (code, floor, place to a tenth of a metre) the first by id stays public.
+    the origin). Of equal public markers (code, floor, place to a tenth of a metre) the first in the reading order of ids stays
+    public.
     """
     code = scalars.category_code(F.col("category"))
     f = features.where("layer = 'Facility'").withColumn("code", code).withColumn("priority", categories.marker_priority(F.col("code"))).where("priority is not null")
@@ -37,7 +38,7 @@ def candidates(features: DataFrame, nodes: DataFrame) -> DataFrame:
     tenth = lambda c: F.floor(F.col(c) * 10 + 0.5).alias(f"t{c}")
     key = ["code", "floor_id", "tx", "tz"]
     f = f.withColumn("tx", tenth("x")).withColumn("tz", tenth("z"))
-    first = f.where("reason is null").groupBy(*key).agg(F.min("id").alias("first_id"))
+    first = f.where("reason is null").groupBy(*key).agg(F.min(F.struct(*scalars.in_reading_order("id"))).alias("f")).select(*key, F.col("f.id").alias("first_id"))
     f = f.join(first, key, "left").withColumn("reason", F.coalesce("reason", F.when(F.col("id") != F.col("first_id"), REASONS[4])))
     zoom = categories.looked_up(F.col("priority"), categories.MARKER_MIN_ZOOM)
     return f.select("id", "source_record", "area", "code", "source_name", "floor_id", "x", "y", "z", "priority", zoom.alias("min_zoom"), "node_id", "distance_m", "reason")
@@ -49,6 +50,14 @@ def summary(markers: DataFrame) -> DataFrame:
     return markers.groupBy("code").agg(F.count(F.lit(1)).alias("candidates"), F.count(F.when(F.col("reason").isNull(), 1)).alias("public"), *counts)
 
 
+def promotions(features: DataFrame) -> DataFrame:
+    """code, features, destination, category, excluded: what becomes of the facilities of each code. features: layer,
+    category."""
+    f = features.where("layer = 'Facility'").select(scalars.category_code(F.col("category")).alias("code"))
+    n = f.groupBy("code").agg(F.count(F.lit(1)).alias("features"))
+    return n.select("*", categories.promotion(F.col("code")).alias("p")).select("code", "features", "p.*")
+
+
 def filter_options(markers: DataFrame, hidden: list[str], gates: DataFrame) -> DataFrame:
     """code, n of public markers without hidden codes, and one row ``gate`` for the rows of gates."""
     shown = markers.where(F.col("reason").isNull() & ~F.col("code").isin(hidden)).groupBy("code").agg(F.count(F.lit(1)).alias("n"))

@@ -18,21 +18,22 @@ def ordinals(places: DataFrame, *group: str) -> DataFrame:
 
 
 def flag_duplicates(markers: DataFrame) -> DataFrame:
-    """duplicate: a marker of the same category, floor and place (to a tenth of a metre) has a smaller id."""
+    """duplicate: a marker of the same category, floor and place (to a tenth of a metre) comes before it in the reading order
+    of ids; rows that share the first id are none."""
     tenth = lambda c: F.floor(F.col(c) * 10 + 0.5)
     m = markers.withColumns({"__x": tenth("x"), "__z": tenth("z")})
     key = ["category", "floor_id", "__x", "__z"]
-    first = m.groupBy(*key).agg(F.min("id").alias("__first")).select("__first", *[F.col(c).alias(f"_{c}") for c in key])
+    first = m.groupBy(*key).agg(F.min(F.struct(*scalars.in_reading_order("id"))).alias("__f")).select(F.col("__f.id").alias("__first"), *[F.col(c).alias(f"_{c}") for c in key])
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key])
-    return m.join(first, same).select(*markers.columns, (F.col("id") > F.col("__first")).alias("duplicate"))
+    return m.join(first, same).select(*markers.columns, (F.col("id") != F.col("__first")).alias("duplicate"))
 
 
 def declutter(markers: DataFrame, priority: Column, zoom: float, limit: int = 80) -> DataFrame:
-    """The best marker of each screen cell of a floor, then the first ``limit`` by priority and id."""
+    """The best marker of each screen cell of a floor, then the first ``limit`` by priority and reading order of ids."""
     cell = 34 / max(zoom, 0.1)
     m = markers.withColumn("priority", priority)
-    w = Window.partitionBy("floor_id", F.floor(F.col("x") / cell), F.floor(F.col("z") / cell)).orderBy("priority", "id")
-    return m.withColumn("place", F.row_number().over(w)).where("place = 1").drop("place").orderBy("priority", "id").limit(limit)
+    w = Window.partitionBy("floor_id", F.floor(F.col("x") / cell), F.floor(F.col("z") / cell)).orderBy("priority", *scalars.in_reading_order("id"))
+    return m.withColumn("place", F.row_number().over(w)).where("place = 1").drop("place").orderBy("priority", *scalars.in_reading_order("id")).limit(limit)
 
 
 def search_terms(places: DataFrame, *columns: str) -> DataFrame:

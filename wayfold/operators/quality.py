@@ -28,9 +28,11 @@ def profile(pairs: DataFrame, top: int = 12, small: int = 50) -> DataFrame:
     of nulls only."""
     counts = pairs.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
     whole = counts.groupBy("field").agg(F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("nulls"), F.count("value").alias("distinct_values"))
+    given, few = counts.where("value is not null"), F.col("distinct_values") <= small
+    # a limit alone in its filter is applied by every task before the shuffle, so that no task ranks all values of a field
     w = Window.partitionBy("field").orderBy(F.desc("n"), "value")
-    best = counts.where("value is not null").withColumn("place", F.row_number().over(w))
-    best = best.join(whole.select("field", "distinct_values"), "field").where((F.col("place") <= top) | (F.col("distinct_values") <= small)).drop("distinct_values")
+    most = given.join(whole.where(~few).select("field"), "field").withColumn("place", F.row_number().over(w)).where(F.col("place") <= top)
+    best = given.join(whole.where(few).select("field"), "field").unionByName(most.drop("place"))
     out = whole.join(best, "field", "left").withColumn("null_ppm", F.floor(F.col("nulls") * 1000000 / F.col("rows") + 0.5).cast("long"))
     return out.select("field", "rows", "nulls", "null_ppm", "distinct_values", "value", "n")
 

@@ -72,7 +72,7 @@ def shortest(arcs: DataFrame, sources: DataFrame, max_rounds: int = 5000, goals:
     """profile, source, node, cost, distance_m, pred, arc: least costs from each (profile, source) to the nodes reached.
 
     Each round relaxes the arcs of the rows that improved last and folds them in with one minimum by key; ties go to the
-    smaller predecessor and arc. arcs: profile, from_id, to_id, id, cost, distance_m. With goals
+    first predecessor and arc in reading order. arcs: profile, from_id, to_id, id, cost, distance_m. With goals
     (profile, source, node) a search goes no further than its dearest goal, once it has reached all of them: rows beyond
     are left out. With nodes (id, x, y, z) as well, a step is left out as soon as its cost and the least cost of the
     straight metres from there to the goals' box exceed the dearest goal. A search that isn't done after ``max_rounds``
@@ -104,7 +104,7 @@ def shortest(arcs: DataFrame, sources: DataFrame, max_rounds: int = 5000, goals:
             step = step.where(F.col("total") + F.coalesce(ahead, F.lit(0.0)) * (1 - 1e-9) <= F.col("dearest"))
         step = step.select("profile", "source", F.col("to_id").alias("node"), F.col("total").alias("cost"), (F.col("walked") + F.col("distance_m")).alias("distance_m"), F.col("from_id").alias("pred"), "arc", F.lit(True).alias("new"))
         both = state.withColumn("new", F.lit(False)).unionByName(step)
-        best = F.min(F.struct("cost", "new", "pred", "arc", "distance_m")).alias("b")  # at equal cost the known row stays
+        best = F.min(F.struct("cost", "new", F.collate("pred", "UNICODE").alias("p"), "pred", F.collate("arc", "UNICODE").alias("a"), "arc", "distance_m")).alias("b")  # at equal cost the known row stays
         state = stored(both.groupBy(*keys).agg(best).select(*keys, "b.cost", "b.distance_m", "b.pred", "b.arc", "b.new"))
         if not state.where("new").limit(1).count():
             return state.drop("new")

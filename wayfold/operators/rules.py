@@ -32,7 +32,6 @@ def feature_issues(features: DataFrame) -> DataFrame:
     least = F.when(F.col("gtype") == "Polygon", 3).when(F.col("gtype") == "PolyLine", 2).otherwise(1)
     inner = F.flatten("parts")
     facility = F.coalesce(F.col("layer") == "Facility", F.lit(False))
-    near = F.forall(inner, lambda p: (F.abs(p.x) <= SLICE_M) & (F.abs(p.z) <= SLICE_M))
     rules = {
         "id-missing": _text("id"),
         "record-not-positive": F.col("source_record") >= 1,
@@ -41,7 +40,6 @@ def feature_issues(features: DataFrame) -> DataFrame:
         "geometry-empty": F.size("parts") > 0,
         "part-too-short": F.forall("parts", lambda p: F.size(p) >= least),
         "coordinates-not-finite": F.forall(inner, lambda p: _finite(p.x, p.y, p.z)),
-        "outside-slice": near,
         "facility-not-a-point": ~facility | (F.col("gtype") == "Point"),
         "facility-without-category": ~facility | _text("category"),
         "facility-without-area": ~facility | _text("area"),
@@ -50,6 +48,14 @@ def feature_issues(features: DataFrame) -> DataFrame:
     return quality.issues(features, "id", rules).unionByName(quality.repeated(features, "id"))
 
 
+def slice_warnings(points: DataFrame, dataset: str) -> DataFrame:
+    """source_id (the dataset), code: datasets whose bounds in the plane are wider than a station needs. That is a warning,
+    no issue: the data stays usable. points: x, z and the dataset's column."""
+    widest = F.greatest(F.max(F.abs("x")), F.max(F.abs("z")))
+    wide = points.groupBy(F.col(dataset).alias("source_id")).agg(widest.alias("widest")).where(F.col("widest") > SLICE_M)
+    return wide.select("source_id", F.lit("outside-slice").alias("code"))
+
+
 def place_issues(places: DataFrame, nodes: DataFrame) -> DataFrame:
     """places: id, name, category, floor_id, x, y, z, node_id, distance_m, confidence, reviewed, routable. The distance
     must be that of place and node in the plane, or in space for reviewed ones, to a centimetre."""

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import in_reading_order
 from .graph import durable
 
 
@@ -14,26 +15,63 @@ def _cell(c: str, size: float):
     return F.floor(F.col(c) / size).cast("long")
 
 
-def nearest_node(places: DataFrame, nodes: DataFrame, first: float = 8.0, rounds: int = 8) -> DataFrame:
-    """places with node_id, distance_m of the nearest node on the same floor in the plane (ties: smaller id).
+def _descend(places: DataFrame, nodes: DataFrame, size: float, levels: int = 12) -> DataFrame:
+    """id, node_id, distance_m of the nearest node of the same floor, however far it is. Cells of ``size`` metres are
+    gathered by four by four, level over level. A place starts with the few widest cells of its floor; at each level it
+    keeps those whose box begins no farther away than the nearest box ends, and goes on with the cells inside them, so
+    that it never meets all nodes of a floor. nodes: floor_id, node_id, nx, nz."""
+    sides = {"x0": F.min, "x1": F.max, "z0": F.min, "z1": F.max}
+    finest = nodes.withColumns({"cx": _cell("nx", size), "cz": _cell("nz", size)})
+    cells = [durable(finest.groupBy("floor_id", "cx", "cz").agg(*[f(f"n{c[0]}").alias(c) for c, f in sides.items()]))]
+    for _ in range(levels):
+        wider = cells[-1].withColumns({c: F.floor(F.col(c) / 4).cast("long") for c in ("cx", "cz")})
+        cells.append(wider.groupBy("floor_id", "cx", "cz").agg(*[f(c).alias(c) for c, f in sides.items()]))
+    asks = places.select("id", "floor_id", "x", "z")
+    d = asks.join(cells[-1], "floor_id")
+    off = lambda c: F.greatest(F.lit(0.0), F.col(f"{c}0") - F.col(c), F.col(c) - F.col(f"{c}1"))
+    end = lambda c: F.greatest(F.abs(F.col(c) - F.col(f"{c}0")), F.abs(F.col(c) - F.col(f"{c}1")))
+    for level in range(levels, -1, -1):
+        d = d.withColumns({"near": F.sqrt(off("x") ** 2 + off("z") ** 2), "far": F.sqrt(end("x") ** 2 + end("z") ** 2)})
+        d = d.withColumn("most", F.min("far").over(Window.partitionBy("id"))).where(F.col("near") <= F.col("most") * (1 + 1e-9))
+        d = d.select("id", "floor_id", "x", "z", "cx", "cz")
+        if level:
+            inner = cells[level - 1].withColumns({"px": F.floor(F.col("cx") / 4).cast("long"), "pz": F.floor(F.col("cz") / 4).cast("long")})
+            d = d.withColumnsRenamed({"cx": "px", "cz": "pz"}).join(inner, ["floor_id", "px", "pz"])
+    d = d.join(finest, ["floor_id", "cx", "cz"]).withColumn("d", F.sqrt((F.col("x") - F.col("nx")) ** 2 + (F.col("z") - F.col("nz")) ** 2))
+    return d.groupBy("id").agg(_nearest("node_id")).select("id", F.col("b.node_id").alias("node_id"), F.col("b.d").alias("distance_m"))
+
+
+def _placed():
+    return (F.abs("x") < 1e15) & (F.abs("z") < 1e15)
+
+
+def _nearest(c: str):
+    return F.min(F.struct("d", *in_reading_order(c))).alias("b")
+
+
+def nearest_node(places: DataFrame, nodes: DataFrame, first: float = 8.0, rounds: int = 4) -> DataFrame:
+    """places with node_id, distance_m of the nearest node on the same floor in the plane (ties: first id in reading order).
 
     Looks in the nine cells around a place; what has no node within a cell's width tries again with cells four times
-    as wide. After the last round the rest of a floor is one cell. Places on floors without nodes get nulls.
+    as wide. What is left after the last round narrows its search from wide cells down. Places on floors without nodes
+    get nulls; so do places without coordinates (null, not finite, or 10^15 m and more), and such nodes aren't found.
     """
-    n = nodes.select("floor_id", F.col("id").alias("node_id"), F.col("x").alias("nx"), F.col("z").alias("nz"))
-    left, found = places, []
-    for k in range(rounds + 1):
-        size = first * 4**k if k < rounds else 1e12
+    n = nodes.where(_placed()).select("floor_id", F.col("id").alias("node_id"), F.col("x").alias("nx"), F.col("z").alias("nz"))
+    left, found = places.where(_placed()), []
+    for k in range(rounds):
+        size = first * 4**k
         around = F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))
         asks = left.withColumn("cx", _cell("x", size)).withColumn("cz", _cell("z", size)).withColumn("dx", around).withColumn("dz", around)
         asks = asks.withColumn("cx", F.col("cx") + F.col("dx")).withColumn("cz", F.col("cz") + F.col("dz"))
         d = asks.join(n.withColumn("cx", _cell("nx", size)).withColumn("cz", _cell("nz", size)), ["floor_id", "cx", "cz"])
         d = d.withColumn("d", F.sqrt((F.col("x") - F.col("nx")) ** 2 + (F.col("z") - F.col("nz")) ** 2)).where(F.col("d") <= size)
-        best = durable(d.groupBy("id").agg(F.min(F.struct("d", "node_id")).alias("b")).select("id", F.col("b.node_id").alias("node_id"), F.col("b.d").alias("distance_m")))
+        best = durable(d.groupBy("id").agg(_nearest("node_id")).select("id", F.col("b.node_id").alias("node_id"), F.col("b.d").alias("distance_m")))
         found.append(best)
         left = durable(left.join(best, "id", "left_anti"))
         if not left.limit(1).count():
             break
+    else:
+        found.append(_descend(left, n, size))
     return places.join(reduce(DataFrame.unionByName, found), "id", "left")
 
 
@@ -52,12 +90,12 @@ def bounds(points: DataFrame, *keys: str) -> DataFrame:
 
 
 def nearest_within(points: DataFrame, places: DataFrame, tolerance: float = 15.0) -> DataFrame:
-    """id, place_id, distance_m of the nearest place in the plane, on any floor, within a distance (ties: smaller id);
+    """id, place_id, distance_m of the nearest place in the plane, on any floor, within a distance (ties: first id in
+    reading order);
     points without one give no row."""
     around = F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))
     asks = points.select("id", "x", "z").withColumn("dx", around).withColumn("dz", around)
     asks = asks.withColumn("cx", _cell("x", tolerance) + F.col("dx")).withColumn("cz", _cell("z", tolerance) + F.col("dz"))
     there = places.select(F.col("id").alias("place_id"), F.col("x").alias("px"), F.col("z").alias("pz"), _cell("x", tolerance).alias("cx"), _cell("z", tolerance).alias("cz"))
     d = asks.join(there, ["cx", "cz"]).withColumn("d", F.sqrt((F.col("x") - F.col("px")) ** 2 + (F.col("z") - F.col("pz")) ** 2)).where(F.col("d") <= tolerance)
-    best = F.min(F.struct("d", "place_id")).alias("b")
-    return d.groupBy("id").agg(best).select("id", F.col("b.place_id").alias("place_id"), F.col("b.d").alias("distance_m"))
+    return d.groupBy("id").agg(_nearest("place_id")).select("id", F.col("b.place_id").alias("place_id"), F.col("b.d").alias("distance_m"))

@@ -75,6 +75,25 @@ def coverage_report(places: DataFrame, translated: DataFrame, areas: DataFrame)
     return of_places.unionByName(of_areas).groupBy("section").agg(count("found").alias("covered"), count("in_en").alias("english"), F.count(F.lit(1)).alias("total"))
 
 
+def release_statistics(places: DataFrame, areas: DataFrame) -> DataFrame:
+    """section, key, n: the counts that a release of both tables of records states: records of places and areas, and of
+    both together by status (each of them, also with 0) and by source."""
+    both = places.select(F.lit("places").alias("side"), "status", "source").unionByName(areas.select(F.lit("areas").alias("side"), "status", "source"))
+    pair = lambda section, key: F.struct(F.lit(section).alias("section"), key.alias("key"))
+    counts = both.select(F.explode(F.array(pair("records", F.col("side")), pair("status", F.col("status")), pair("source", F.col("source")))).alias("p"))
+    counts = counts.groupBy("p.section", "p.key").agg(F.count(F.lit(1)).alias("n"))
+    must = [pair("records", F.lit(x)) for x in ("places", "areas")] + [pair("status", F.lit(x)) for x in STATUSES]
+    none = places.sparkSession.range(1).select(F.explode(F.array(*must)).alias("p")).select("p.section", "p.key", F.lit(0).cast("long").alias("n"))
+    return counts.unionByName(none).groupBy("section", "key").agg(F.sum("n").alias("n"))
+
+
+def release_issues(declared: DataFrame, places: DataFrame, areas: DataFrame) -> DataFrame:
+    """key (section.key), declared, computed, problem of the stated counts (section, key, n) that the records don't bear
+    out: wrong, missing (no such records), extra (records that no count states)."""
+    named = lambda df: df.select(F.concat_ws(".", "section", "key").alias("key"), "n")
+    return quality.reconcile(named(declared), named(release_statistics(places, areas)), "key", "n")
+
+
 def broken(translated: DataFrame) -> DataFrame:
     """source_id, code: English missing though not pending, or present though pending; ids that repeat."""
     t = F.col("status") == STATUSES[2]

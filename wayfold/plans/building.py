@@ -233,6 +233,19 @@ def journey_texts(s: SparkSession, d: str) -> DataFrame:
     return j.select("request_id", *[texts.estimate(F.col("minutes"), x).alias(x) for x in ("en", "ja")], texts.floor_changes(F.col("floor_changes"), "en").alias("changes_en"))
 
 
+@query("""select area as source_id, 'outside-slice' as code from features group by area having greatest(max(abs(x*9)), max(abs(z*9))) > 2000""", "features")
+def slice_warnings(s: SparkSession, d: str) -> DataFrame:
+    """Areas that reach beyond a station's slice when drawn nine times as large."""
+    f = table(s, d, "features")
+    return rules.slice_warnings(f.select("area", (F.col("x") * 9).alias("x"), (F.col("z") * 9).alias("z")), "area")
+
+
+@query(f"with recursive {ctes('nodes', 'edges', 'stops')}, " + COMPONENTS[len("with recursive ") :] + ", a as (select n.id, coalesce(root, n.id) as root from nodes n left join c using (id)), k as (select root, row_number() over (order by root) - 1 as component_id from (select distinct root from a)) select component_id, count(*) as n from stops join a on a.id=stops.node_id join k using (root) group by component_id")
+def place_component_counts(s: SparkSession, d: str) -> DataFrame:
+    """How many places each part of the network has."""
+    return places.component_counts(table(s, d, "stops"), table(s, d, "nodes"), table(s, d, "edges"))
+
+
 @query("with t as (select distinct p_partkey as id, lower(trim(p_name)) as term from part where trim(p_name) <> '') select count(distinct id) as places, count(*) as terms, count(distinct term) as distinct_terms from t")
 def search_index_statistics(s: SparkSession, d: str) -> DataFrame:
     return places.index_statistics(places.search_terms(table(s, d, "part").select(F.col("p_partkey").alias("id"), "p_name"), "p_name"))

@@ -48,6 +48,21 @@ def route_warnings(s: SparkSession, d: str) -> DataFrame:
     return guidance.warnings(w, table(s, d, "ends")).select("request_id", F.array_join("fields", ",").alias("fields"))
 
 
+@query("""with u as (select w.request_id, string_agg(distinct w.unknown, ', ' order by w.unknown) as t from walks w join ends e on w.request_id=e.request_id where e.profile='accessible' and w.unknown is not null group by w.request_id),
+p as (select id, name, case when cast(substr(id, 10) as bigint) % 3 = 0 then 'unknown' else 'yes' end as a from places),
+v as (select r.request_id, [x for x in [case when a.a='unknown' then a.name end, case when b.a='unknown' then b.name end] if x is not null] as n from requests r left join p a on r.start_id=a.id left join p b on r.destination_id=b.id
+ where r.profile='accessible' and r.start_id<>r.destination_id and (a.a='unknown' or b.a='unknown'))
+select request_id, 1 as warning_no, 'Accessibility data is incomplete for: ' || t || '. Unknown segments are allowed by policy.' as en, 'アクセシビリティ情報が不完全です：' || t || '。情報が不明な区間は現在の方針により利用可能として扱います。' as ja from u
+union all select request_id, case when request_id in (select request_id from u) then 2 else 1 end, 'Wheelchair accessibility has not been verified for the direct place-to-network access at: ' || array_to_string(n, ', ') || '.',
+ '次の場所から歩行者ネットワークまでの車いす対応状況は未確認です：' || array_to_string(n, '、') || '。' from v""", "walks", "ends", "places", "requests")
+def route_warning_texts(s: SparkSession, d: str) -> DataFrame:
+    """The warnings of all accessible routes in both languages."""
+    w = table(s, d, "walks").withColumn("unknowns", F.array_compact(F.array("unknown")))
+    p = table(s, d, "places").withColumn("accessibility", F.when(F.substring("id", 10, 20).cast("long") % 3 == 0, "unknown").otherwise("yes"))
+    asked = table(s, d, "requests").withColumn("status", F.lit("ok"))
+    return guidance.warning_texts(guidance.warnings(w, table(s, d, "ends")), guidance.access_unverified(asked, p), p.select("id", F.col("name").alias("en"), F.col("name").alias("ja")))
+
+
 @query("""with f as (select distinct request_id, unnest([floor_from, floor_to]) as f from walks)
 select request_id, string_agg(f, ',' order by case f when 'B2' then -2 when 'B1' then -1 else cast(f as int) end) as floors from f group by request_id""", "walks")
 def route_floors(s: SparkSession, d: str) -> DataFrame:

@@ -237,6 +237,42 @@ def translation_report(s: SparkSession, d: str) -> DataFrame:
     return translations.coverage_report(_public(s, d), _translated(s, d), _areas(s, d))
 
 
+RELEASE = AREAS + """, rt as (select t.* from t join pr using (id) where routable), k as (
+select 'records' as section, 'places' as key, count(*) as n from rt union all select 'records', 'areas', count(*) from ar
+union all select 'status', v, (select count(*) from rt where status=v) + case v when 'reviewed' then (select count(*) from ar) else 0 end from (values ('specification'), ('reviewed'), ('pending')) as q(v)
+union all select 'source', source, count(*) from (select source from rt union all select 'register' from ar) group by source)"""
+
+
+def _released(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    routable = _public(s, d).where("routable").select("id")
+    return _translated(s, d).join(routable, "id", "left_semi"), _areas(s, d)
+
+
+@query(RELEASE + " select * from k", "nodes", "features")
+def translation_release(s: SparkSession, d: str) -> DataFrame:
+    """The counts that a release of the translations of routable places and their areas states."""
+    return translations.release_statistics(*_released(s, d))
+
+
+@query(RELEASE + """ select 'records.areas' as key, null::bigint as declared, n as computed, 'extra' as problem from k where section='records' and key='areas'
+union all select 'status.reviewed', n + 1, n, 'wrong' from k where section='status' and key='reviewed' union all select 'source.elsewhere', 1, null, 'missing'""", "nodes", "features")
+def translation_release_issues(s: SparkSession, d: str) -> DataFrame:
+    """A release that leaves one count out, is wrong in another and names a source that no record has."""
+    t, a = _released(s, d)
+    k = translations.release_statistics(t, a)
+    stated = k.where("not (section = 'records' and key = 'areas')").withColumn("n", F.col("n") + (F.col("key") == "reviewed").cast("long"))
+    other = s.range(1).select(F.lit("source").alias("section"), F.lit("elsewhere").alias("key"), F.lit(1).cast("long").alias("n"))
+    return translations.release_issues(stated.unionByName(other), t, a)
+
+
+@query(f"""with pol(code, category, ja, en) as (values {_values(categories.PLACE_CATEGORIES)}), f as (select coalesce(upper(trim(category)), '') as code from features where layer='Facility'),
+g as (select code, count(*) as features, code in ({', '.join(repr(r[1]) for r in categories.CATEGORIES if r[0] == 'Facility')}) and code not in ({', '.join(map(repr, categories.NO_DESTINATIONS))}) as destination from f group by code)
+select g.*, case when destination then pol.category end as category, case when destination and pol.category is null then 'outside-current-named-place-taxonomy' end as excluded from g left join pol using (code)""", "features")
+def place_promotions(s: SparkSession, d: str) -> DataFrame:
+    """What becomes of the facilities of each code: a place, none for a stated reason, or no destination."""
+    return markers.promotions(table(s, d, "features"))
+
+
 @query(EXPLICIT + " select id from t where status='pending'", "nodes", "features")
 def pending_translations(s: SparkSession, d: str) -> DataFrame:
     return translations.pending(_translated(s, d))

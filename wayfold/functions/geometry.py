@@ -1,7 +1,10 @@
-"""Geometry on arrays of points (struct<x, z> or struct<x, y, z>), with array functions only."""
+"""Geometry on arrays of points (struct<x, z> or struct<x, y, z>), with array functions; grids of inner points in numpy."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -134,7 +137,7 @@ GRID = 32  # candidates a side
 def representative_point(kind: Column, points: Column, rings: Column) -> Column:
     """struct(x, z) that stands for a geometry: a point itself, the middle of a line (points), a polygon's inner point."""
     first = F.element_at(points, 1)
-    return F.when(kind == "Point", F.struct(first.x.alias("x"), first.z.alias("z"))).when(kind == "PolyLine", midpoint(points)).when(kind == "Polygon", _bound(largest_ring(rings), lambda r: interior_point(r, rings)))
+    return F.when(kind == "Point", F.struct(first.x.alias("x"), first.z.alias("z"))).when(kind == "PolyLine", midpoint(points)).when(kind == "Polygon", interior_point(largest_ring(rings), rings))
 
 
 def _bound(value: Column, f) -> Column:
@@ -142,23 +145,80 @@ def _bound(value: Column, f) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
+def _odd(rings: list[tuple[np.ndarray, np.ndarray]], x: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Even-odd rule over all rings, for points in numpy."""
+    odd = np.zeros(len(x), bool)
+    for px, pz in rings:
+        for i in range(len(px)):
+            ax, az, bx, bz = px[i - 1], pz[i - 1], px[i], pz[i]
+            if az != bz:
+                odd ^= ((bz > z) != (az > z)) & (x < (ax - bx) * (z - bz) / (az - bz) + bx)
+    return odd
+
+
+def grid_centre(rings: list[tuple[np.ndarray, np.ndarray]], xs: np.ndarray, zs: np.ndarray) -> tuple[float, float] | None:
+    """Of the centres of a grid over the bounds of (xs, zs), the one inside the rings that is farthest from them."""
+    if not np.isfinite([xs.min(), xs.max(), zs.min(), zs.max()]).all():
+        return None
+    n = np.arange(GRID * GRID)
+    x = xs.min() + (n % GRID + 0.5) * (xs.max() - xs.min()) / GRID
+    z = zs.min() + (n // GRID + 0.5) * (zs.max() - zs.min()) / GRID
+    near = np.full(len(n), np.inf)
+    for px, pz in rings:
+        for i in range(1, len(px)):
+            ax, az, dx, dz = px[i - 1], pz[i - 1], px[i] - px[i - 1], pz[i] - pz[i - 1]
+            size = dx * dx + dz * dz
+            t = np.clip(((x - ax) * dx + (z - az) * dz) / size, 0.0, 1.0) if size != 0 else 0.0
+            near = np.minimum(near, (x - ax - t * dx) * (x - ax - t * dx) + (z - az - t * dz) * (z - az - t * dz))
+    inner = np.flatnonzero(_odd(rings, x, z))
+    if not len(inner):
+        return None
+    best = inner[np.lexsort((z[inner], x[inner], -np.sqrt(near[inner])))[0]]
+    return float(x[best]), float(z[best])
+
+
+def inner_point(rings: list[tuple[np.ndarray, np.ndarray]]) -> tuple[float, float] | None:
+    """The centroid of the largest ring if it is inside the rings, else the centre of a grid; sums run along the ring."""
+    sizes, best = [], 0
+    for px, pz in rings:
+        parts = [a * d - c * b for a, b, c, d in zip(px[:-1].tolist(), pz[:-1].tolist(), px[1:].tolist(), pz[1:].tolist())]
+        total = 0.0
+        for v in parts:
+            total += v
+        sizes.append((total, parts))
+        if abs(total / 2) > abs(sizes[best][0] / 2):
+            best = len(sizes) - 1
+    (px, pz), (twice, parts) = rings[best], sizes[best]
+    if twice != 0 and np.isfinite(twice):
+        x = z = 0.0
+        for i, v in enumerate(parts):
+            x += float(px[i] + px[i + 1]) * v
+            z += float(pz[i] + pz[i + 1]) * v
+        x, z = x / (3 * twice), z / (3 * twice)
+        if _odd(rings, np.array([x]), np.array([z]))[0]:
+            return x, z
+    return grid_centre(rings, px, pz)
+
+
+def inner_points():
+    """A column function: rings -> inner_point of each polygon."""
+
+    def run(rings: pa.Array) -> pa.Array:
+        ends = lambda lists: np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        outer, parts = ends(rings), rings.flatten()
+        inner, points = ends(parts), parts.flatten()
+        px, pz = (pc.struct_field(points, k).cast(pa.float64()).to_numpy(zero_copy_only=False) for k in "xz")
+        out = []
+        for i in range(len(rings)):
+            cut = [slice(inner[r], inner[r + 1]) for r in range(outer[i], outer[i + 1]) if inner[r + 1] > inner[r]]
+            out.append(inner_point([(px[s], pz[s]) for s in cut]) if cut else None)
+        return pa.array([None if c is None else {"x": c[0], "z": c[1]} for c in out], pa.struct([("x", pa.float64()), ("z", pa.float64())]))
+
+    return F.arrow_udf(run, "struct<x: double, z: double>").asNondeterministic()
+
+
 def interior_point(ring: Column, rings: Column | None = None) -> Column:
     """struct(x, z) inside a ring (or, given all rings of a polygon of which it is the largest, inside the polygon): its
     centroid if that is inside, else, of the centres of a grid over its bounds, the inner one farthest from the boundary
     (ties: smaller x, then z), else the middle of the line. Only rings whose centroid is outside build the grid."""
-    every = F.array(ring) if rings is None else rings
-    xs, zs = F.transform(ring, lambda p: p.x), F.transform(ring, lambda p: p.z)
-    box = F.struct(F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(zs).alias("z0"), F.array_max(zs).alias("z1"))
-
-    def best(s: Column) -> Column:
-        b = s["box"]
-        cells = F.sequence(F.lit(0), F.lit(GRID * GRID - 1))
-        at = lambda n, k: b[f"{k}0"] + (n + 0.5) * (b[f"{k}1"] - b[f"{k}0"]) / GRID
-        point = F.transform(cells, lambda n: F.struct(at(n % GRID, "x").alias("x"), at(F.floor(n / GRID), "z").alias("z")))
-        inner = F.filter(point, lambda p: inside_rings(p.x, p.z, s["rings"]))
-        nearest = lambda p: F.array_min(F.transform(s["rings"], lambda r: boundary_distance(p.x, p.z, r)))
-        ranked = F.transform(inner, lambda p: F.struct((-nearest(p)).alias("d"), p.x.alias("x"), p.z.alias("z")))
-        grid = _bound(F.array_min(ranked), lambda m: F.when(m.isNotNull(), F.struct(m.x.alias("x"), m.z.alias("z"))).otherwise(midpoint(s["ring"])))
-        return F.when(inside_rings(s["c"].x, s["c"].z, s["rings"]), s["c"]).otherwise(grid)
-
-    return _bound(F.struct(ring.alias("ring"), every.alias("rings"), ring_centroid(ring).alias("c"), box.alias("box")), best)
+    return F.coalesce(inner_points()(F.array(ring) if rings is None else rings), midpoint(ring))

@@ -181,8 +181,13 @@ def cost(profile: str, penalty: Column) -> Column:
 
 
 def penalty(edges: DataFrame) -> DataFrame:
-    """One row: more than any route's length, so that one floor change outweighs distance."""
-    return edges.agg((F.coalesce(F.sum(F.greatest(F.lit(0.0), "distance_m")), F.lit(0.0)) + 1).alias("penalty"))
+    """One row: more than any route's length, so that one floor change outweighs distance. The sum doesn't depend on the
+    order of rows: whole metres and 2^-36 parts add exactly, only what is below them is rounded."""
+    d = edges.select(F.greatest(F.lit(0.0), "distance_m").alias("m")).withColumn("whole", F.floor(F.col("m")).cast("double"))
+    part = F.nanvl(F.col("m") - F.col("whole"), F.lit(0.0)) * 2.0**36
+    d = d.select("whole", F.floor(part).alias("part"), (part - F.floor(part)).alias("rest"))
+    total = F.sum("whole") + (F.sum("part") + F.sum("rest") + F.lit(2.0**36)) / 2.0**36
+    return d.agg(F.coalesce(total, F.lit(1.0)).alias("penalty"))
 
 
 def scales(edges: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ def whole_plans(requests: DataFrame, places: DataFrame, nodes: DataFrame, arcs:
     """routing.plans with steps: an array of struct(step_no, kind, distance_m, floor_from, floor_to, movement, edge_ids),
     null where nothing was found. places: as routing.plans takes them, with floor_id; nodes: id, x, y, z; arcs: the
     network's, with kind and floors; profiles: arcs by profile (graph.profile_arcs)."""
-    plan = routing.stored(routing.plans(requests, places, profiles, nodes=nodes.select("id", "x", "y", "z"), parts=parts))
+    plan = routing.stored(routing.plans(requests, places, profiles, parts=parts))
     found = plan.where("status = 'ok'")
     at = lambda end, i: nodes.select(F.col("id").alias(f"{end}_id"), *[F.col(c).alias(f"{c}{i}") for c in "xyz"])
     walk = network.resolved(found.select("request_id", "node_ids", "edge_ids"), arcs.select("id", "from_id", "to_id", "kind", "floor_from", "floor_to", "distance_m"))

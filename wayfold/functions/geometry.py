@@ -20,6 +20,11 @@ def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
 
 
+def _once(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def length_3d(points: Column) -> Column:
     d = lambda a, b: F.sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) + (b.z - a.z) * (b.z - a.z))
     return _total(_pairs(points, d))
@@ -99,18 +104,24 @@ def arrow(points: Column) -> Column:
     """struct(x, y, z, ux, uy, uz): the point half way along a line in space and the direction there; null for lines
     without length."""
     steps = _pairs(points, lambda a, b: F.sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y) + (b.z - a.z) * (b.z - a.z)))
-    half = _total(steps) / 2
     start = F.struct(F.lit(0.0).alias("done"), F.lit(1).alias("i"), F.lit(None).cast("int").alias("at"), F.lit(0.0).alias("rest"), F.lit(1.0).alias("long"))
 
-    def walk(s, d):
-        hit = s["at"].isNull() & (d > 0) & (s["done"] + d >= half)
-        keep = lambda new, old: F.when(hit, new).otherwise(s[old]).alias(old)
-        return F.struct((s["done"] + d).alias("done"), (s["i"] + 1).alias("i"), keep(s["i"], "at"), keep((half - s["done"]) / F.nullif(d, F.lit(0.0)), "rest"), keep(d, "long"))
+    def found(m):
+        def walk(s, d):
+            hit = s["at"].isNull() & (d > 0) & (s["done"] + d >= m["half"])
+            keep = lambda new, old: F.when(hit, new).otherwise(s[old]).alias(old)
+            return F.struct((s["done"] + d).alias("done"), (s["i"] + 1).alias("i"), keep(s["i"], "at"), keep((m["half"] - s["done"]) / F.nullif(d, F.lit(0.0)), "rest"), keep(d, "long"))
 
-    s = F.aggregate(steps, start, walk)
-    a, b = F.try_element_at(points, s["at"]), F.try_element_at(points, s["at"] + 1)
-    at = [(a[k] + (b[k] - a[k]) * s["rest"]).alias(k) for k in "xyz"]
-    return F.when(s["at"].isNotNull(), F.struct(*at, *[((b[k] - a[k]) / s["long"]).alias(f"u{k}") for k in "xyz"]))
+        return F.struct(m["points"].alias("points"), F.aggregate(m["steps"], start, walk).alias("s"))
+
+    def placed(m):
+        s = m["s"]
+        a, b = F.try_element_at(m["points"], s["at"]), F.try_element_at(m["points"], s["at"] + 1)
+        at = [(a[k] + (b[k] - a[k]) * s["rest"]).alias(k) for k in "xyz"]
+        return F.when(s["at"].isNotNull(), F.struct(*at, *[((b[k] - a[k]) / s["long"]).alias(f"u{k}") for k in "xyz"]))
+
+    measured = _once(F.struct(points.alias("points"), steps.alias("steps")), lambda m: F.struct(m["points"].alias("points"), m["steps"].alias("steps"), (_total(m["steps"]) / 2).alias("half")))
+    return _once(_once(measured, found), placed)
 
 
 def joined(lines: Column) -> Column:

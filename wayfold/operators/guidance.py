@@ -115,10 +115,15 @@ def route_lines(walk: DataFrame) -> DataFrame:
     return walk.groupBy("request_id").agg(geometry.joined(lines).alias("points"))
 
 
+def _cue(points: Column) -> Column:
+    """The rows of lines with a length, with their cue; exploded, so that it is computed once, not once for each field."""
+    return F.explode(F.array_compact(F.array(geometry.arrow(points)))).alias("cue")
+
+
 def direction_cues(walk: DataFrame, floors: list[str], shortest_m: float = 10.0) -> DataFrame:
     """request_id, pos, cue (place and direction half way) of arcs within a shown floor that are long enough."""
     d = walk.where(~changes() & F.col("floor_from").isin(floors) & (F.col("distance_m") >= shortest_m))
-    return d.select("request_id", "pos", geometry.arrow(line()).alias("cue")).where("cue is not null")
+    return d.select("request_id", "pos", _cue(line()))
 
 
 def _own_line(walk: DataFrame) -> Column:
@@ -128,7 +133,7 @@ def _own_line(walk: DataFrame) -> Column:
 def transition_markers(walk: DataFrame, floors: list[str]) -> DataFrame:
     """request_id, pos, movement, floor_from, floor_to, cue of floor changes between shown floors."""
     d = walk.where(changes() & F.col("floor_from").isin(floors) & F.col("floor_to").isin(floors))
-    return d.select("request_id", "pos", F.col("kind").alias("movement"), "floor_from", "floor_to", geometry.arrow(_own_line(walk)).alias("cue")).where("cue is not null")
+    return d.select("request_id", "pos", F.col("kind").alias("movement"), "floor_from", "floor_to", _cue(_own_line(walk)))
 
 
 def transition_lines(walk: DataFrame, floors: list[str]) -> DataFrame:
@@ -173,4 +178,4 @@ def network_arrows(edges: DataFrame, nodes: DataFrame, floors: list[str]) -> Dat
     d = edges.where("direction != 'both'").join(at("from"), "from_id").join(at("to"), "to_id")
     points = F.array("from", "to")
     points = F.when(F.col("direction") == "reverse", F.reverse(points)).otherwise(points)
-    return d.select("id", geometry.arrow(points).alias("arrow")).where("arrow is not null")
+    return d.select("id", _cue(points).alias("arrow"))

@@ -125,13 +125,14 @@ def header_issues(raw: DataFrame, keys: dict[str, list[str]], expected: dict[str
     issue = lambda code, level, key=None, n=1: F.struct(F.lit(code).alias("code"), F.lit(level).alias("level"), (F.lit(None).cast("string") if key is None else key).alias("key"), F.lit(n).cast("long").alias("n"))
     named = lambda code, level: lambda k: issue(code, level, k)
     found = []
-    for level, names in keys.items():
-        each = F.transform(at(level[:-3], "array<variant>"), lambda e: F.to_json(e)) if level.endswith("[*]") else F.array(text(level))
-        own = lambda e: F.json_object_keys(e)
-        objects = F.coalesce(F.filter(F.coalesce(each, F.array(F.lit(None).cast("string"))), lambda e: own(e).isNotNull()), F.array().cast("array<string>"))
-        others = F.coalesce(F.size(each), F.lit(1)) - F.size(objects)
+    for i, (level, names) in enumerate(keys.items()):
+        own = lambda e: F.json_object_keys(F.to_json(e))
+        each = F.transform(at(level[:-3], "array<variant>"), own) if level.endswith("[*]") else F.array(F.json_object_keys(text(level)))
+        each = F.coalesce(each, F.array(F.lit(None).cast("array<string>")))
+        d = d.withColumn(f"__keys{i}", each)  # columns of their own: computed once, not wherever they are named
+        objects, others = F.filter(F.col(f"__keys{i}"), lambda e: e.isNotNull()), F.size(F.filter(F.col(f"__keys{i}"), lambda e: e.isNull()))
         required = F.array(*map(F.lit, names))
-        sides = [("missing-key", F.transform(objects, lambda e: F.array_except(required, own(e)))), ("unsupported-key", F.transform(objects, lambda e: F.array_except(own(e), required)))]
+        sides = [("missing-key", F.transform(objects, lambda e: F.array_except(required, e))), ("unsupported-key", F.transform(objects, lambda e: F.array_except(e, required)))]
         for code, lists in sides:
             found.append(F.transform(F.flatten(lists), named(code, level)))
         found.append(F.when(others > 0, F.array(F.struct(F.lit("not-an-object").alias("code"), F.lit(level).alias("level"), F.lit(None).cast("string").alias("key"), others.cast("long").alias("n")))))

@@ -121,13 +121,13 @@ def header_issues(raw: DataFrame, keys: dict[str, list[str]], expected: dict[str
     """
     d = raw.withColumn("v", F.try_parse_json("value"))
     at = lambda path, kind="variant": F.try_variant_get("v", path, kind)
-    text = lambda path: F.to_json(at(path))  # noqa: E731  texts stay in quotes
+    is_text = lambda path: F.schema_of_variant(at(path)) == "STRING"
+    own = lambda e, path: F.map_keys(F.try_variant_get(e, path, "map<string, variant>"))  # noqa: E731  null: no object
     issue = lambda code, level, key=None, n=1: F.struct(F.lit(code).alias("code"), F.lit(level).alias("level"), (F.lit(None).cast("string") if key is None else key).alias("key"), F.lit(n).cast("long").alias("n"))
     named = lambda code, level: lambda k: issue(code, level, k)
     found = []
     for i, (level, names) in enumerate(keys.items()):
-        own = lambda e: F.json_object_keys(F.to_json(e))
-        each = F.transform(at(level[:-3], "array<variant>"), own) if level.endswith("[*]") else F.array(F.json_object_keys(text(level)))
+        each = F.transform(at(level[:-3], "array<variant>"), lambda e: own(e, "$")) if level.endswith("[*]") else F.array(own("v", level))
         each = F.coalesce(each, F.array(F.lit(None).cast("array<string>")))
         d = d.withColumn(f"__keys{i}", each)  # columns of their own: computed once, not wherever they are named
         objects, others = F.filter(F.col(f"__keys{i}"), lambda e: e.isNotNull()), F.size(F.filter(F.col(f"__keys{i}"), lambda e: e.isNull()))
@@ -137,10 +137,10 @@ def header_issues(raw: DataFrame, keys: dict[str, list[str]], expected: dict[str
             found.append(F.transform(F.flatten(lists), named(code, level)))
         found.append(F.when(others > 0, F.array(F.struct(F.lit("not-an-object").alias("code"), F.lit(level).alias("level"), F.lit(None).cast("string").alias("key"), others.cast("long").alias("n")))))
     for path, value in expected.items():
-        same = (text(path) == F.to_json(F.try_parse_json(F.lit(f'"{value}"')))) if isinstance(value, str) else (at(path, "double") == value) & ~text(path).startswith('"')
+        same = is_text(path) & (at(path, "string") == value) if isinstance(value, str) else ~is_text(path) & (at(path, "double") == value)
         found.append(F.when(~F.coalesce(same, F.lit(False)), F.array(issue("header-mismatch", path))))
     for path, array in counts.items():
-        same = (at(path, "long") == F.size(at(array, "array<variant>"))) & ~text(path).startswith('"')
+        same = (at(path, "long") == F.size(at(array, "array<variant>"))) & ~is_text(path)
         found.append(F.when(~F.coalesce(same, F.lit(False)), F.array(issue("count-mismatch", path))))
     for path, axes in bounds.items():
         for axis in axes:

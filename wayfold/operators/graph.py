@@ -100,28 +100,33 @@ def arcs(edges: DataFrame) -> DataFrame:
 EDGE_BLOCK = 500_000
 
 
-def _contract(batches):
-    """Edges of a task as (a, b): b is the smallest node that they tie a to, which has a row with itself."""
-    parts = [x for x in batches if x.num_rows]
-    if not parts:
-        return
-    ends = pa.chunked_array([x.column(c).cast(pa.large_string()) for c in ("a", "b") for x in parts])
-    node = pc.unique(ends)
-    node = node.take(pc.sort_indices(node))  # by bytes
-    at = pc.index_in(ends, node).to_numpy().astype(np.int64)
-    a, b = at[: len(at) // 2], at[len(at) // 2 :]
-    label = np.arange(len(node))
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        while (new != new[new]).any():
-            new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    yield pa.RecordBatch.from_arrays([node.cast(pa.string()), node.take(pa.array(label)).cast(pa.string())], names=["a", "b"])
+def _contract():
+    """A task's function that travels with its code, so that workers needn't have this module."""
+
+    def run(batches):
+        """Edges of a task as (a, b): b is the smallest node that they tie a to, which has a row with itself."""
+        parts = [x for x in batches if x.num_rows]
+        if not parts:
+            return
+        ends = pa.chunked_array([x.column(c).cast(pa.large_string()) for c in ("a", "b") for x in parts])
+        node = pc.unique(ends)
+        node = node.take(pc.sort_indices(node))  # by bytes
+        at = pc.index_in(ends, node).to_numpy().astype(np.int64)
+        a, b = at[: len(at) // 2], at[len(at) // 2 :]
+        label = np.arange(len(node))
+        while True:
+            low = np.minimum(label[a], label[b])
+            new = label.copy()
+            np.minimum.at(new, label[a], low)
+            np.minimum.at(new, label[b], low)
+            while (new != new[new]).any():
+                new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        yield pa.RecordBatch.from_arrays([node.cast(pa.string()), node.take(pa.array(label)).cast(pa.string())], names=["a", "b"])
+
+    return run
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -131,7 +136,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     both = edges.select(F.coalesce("from_id", "to_id").alias("a"), F.coalesce("to_id", "from_id").alias("b"))
     both = stored(both.where("a is not null"))
     tasks = max(1, -(-both.count() // EDGE_BLOCK))
-    both = stored(both.repartition(tasks).mapInArrow(_contract, "a string, b string"))
+    both = stored(both.repartition(tasks).mapInArrow(_contract(), "a string, b string"))
     if tasks == 1:
         return both.select(F.col("a").alias("id"), F.col("b").alias("root"))
     both = stored(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())

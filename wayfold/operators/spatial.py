@@ -89,13 +89,40 @@ def bounds(points: DataFrame, *keys: str) -> DataFrame:
     return points.groupBy(*keys).agg(*[f(c).alias(f"{n}_{c}") for c in "xyz" for f, n in ((F.min, "min"), (F.max, "max"))])
 
 
+def _candidates(points: DataFrame, places: DataFrame, tolerance: float, levels: int = 5) -> DataFrame:
+    """id, place_id, d: for each point the few places among which its nearest one within the tolerance is. Places of one spot
+    are one, by their first id in reading order. Cells of the tolerance's width hold four by four smaller ones, level under
+    level; a point goes on with those whose box begins no farther away than the nearest box ends, so that it doesn't
+    meet all places around it, however densely they lie."""
+    sides = {"x0": ("px", F.min), "x1": ("px", F.max), "z0": ("pz", F.min), "z1": ("pz", F.max)}
+    finite = (F.abs("x") < float("inf")) & (F.abs("z") < float("inf"))
+    spots = places.where(finite).select(F.col("id").alias("place_id"), F.col("x").alias("px"), F.col("z").alias("pz"))
+    spots = spots.groupBy("px", "pz").agg(F.min(F.struct(*in_reading_order("place_id"))).alias("f")).select("px", "pz", F.col("f.place_id").alias("place_id"))
+    size = tolerance / 4**levels
+    spots = durable(spots.withColumns({"cx": _cell("px", size), "cz": _cell("pz", size)}))
+    cells = [spots.groupBy("cx", "cz").agg(*[f(c).alias(n) for n, (c, f) in sides.items()])]
+    for _ in range(levels):
+        wider = cells[-1].withColumns({c: F.floor(F.col(c) / 4).cast("long") for c in ("cx", "cz")})
+        cells.append(durable(wider.groupBy("cx", "cz").agg(*[f(n).alias(n) for n, (_, f) in sides.items()])))
+    around = F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))
+    asks = points.where(finite).select("id", "x", "z").withColumn("dx", around).withColumn("dz", around)
+    d = asks.select("id", "x", "z", (_cell("x", tolerance) + F.col("dx")).alias("cx"), (_cell("z", tolerance) + F.col("dz")).alias("cz")).join(cells[-1], ["cx", "cz"])
+    off = lambda c: F.greatest(F.lit(0.0), F.col(f"{c}0") - F.col(c), F.col(c) - F.col(f"{c}1"))
+    end = lambda c: F.greatest(F.abs(F.col(c) - F.col(f"{c}0")), F.abs(F.col(c) - F.col(f"{c}1")))
+    for level in range(levels, -1, -1):
+        d = d.withColumns({"near": F.sqrt(off("x") ** 2 + off("z") ** 2), "far": F.sqrt(end("x") ** 2 + end("z") ** 2)}).where(F.col("near") <= tolerance * (1 + 1e-9))
+        d = d.select("id", "x", "z", "cx", "cz", "near", "far").withColumn("most", F.min("far").over(Window.partitionBy("id"))).where(F.col("near") <= F.col("most") * (1 + 1e-9))
+        d = d.select("id", "x", "z", "cx", "cz")
+        if level:
+            inner = cells[level - 1].withColumns({"ox": F.floor(F.col("cx") / 4).cast("long"), "oz": F.floor(F.col("cz") / 4).cast("long")})
+            d = d.withColumnsRenamed({"cx": "ox", "cz": "oz"}).join(inner, ["ox", "oz"])
+    d = d.join(spots, ["cx", "cz"])
+    return d.select("id", "place_id", F.sqrt((F.col("x") - F.col("px")) ** 2 + (F.col("z") - F.col("pz")) ** 2).alias("d"))
+
+
 def nearest_within(points: DataFrame, places: DataFrame, tolerance: float = 15.0) -> DataFrame:
     """id, place_id, distance_m of the nearest place in the plane, on any floor, within a distance (ties: first id in
     reading order);
     points without one give no row."""
-    around = F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))
-    asks = points.select("id", "x", "z").withColumn("dx", around).withColumn("dz", around)
-    asks = asks.withColumn("cx", _cell("x", tolerance) + F.col("dx")).withColumn("cz", _cell("z", tolerance) + F.col("dz"))
-    there = places.select(F.col("id").alias("place_id"), F.col("x").alias("px"), F.col("z").alias("pz"), _cell("x", tolerance).alias("cx"), _cell("z", tolerance).alias("cz"))
-    d = asks.join(there, ["cx", "cz"]).withColumn("d", F.sqrt((F.col("x") - F.col("px")) ** 2 + (F.col("z") - F.col("pz")) ** 2)).where(F.col("d") <= tolerance)
+    d = _candidates(points, places, tolerance).where(F.col("d") <= tolerance)
     return d.groupBy("id").agg(_nearest("place_id")).select("id", F.col("b.place_id").alias("place_id"), F.col("b.d").alias("distance_m"))

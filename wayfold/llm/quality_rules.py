@@ -1,8 +1,8 @@
 """Quality rules with an isolation forest on rule statistics.
 
 Random splits isolate unusual documents after short paths. The forest is grown on a bounded hashed sample of the
-documents that pass the fixed rules; the score above which a document is rejected is calibrated from labelled rows of
-both classes.
+documents that pass the fixed rules, which each tree draws its few rows from; the score above which a document is rejected is calibrated
+from all labelled rows of both classes.
 
 Defined results: a null or empty text has no words and fails the fixed rules; repeated rows get equal verdicts; equal
 scores get equal verdicts (a score at the threshold is rejected); an empty table gives no rows; without labels of both
@@ -15,19 +15,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, bounded_sample, free_name, is_space, mix64, read, row_of, span_hashes, text_slices, text_view, tidy, word_spans
+from .common import U64, bounded_sample, durable, free_name, is_space, mix64, read, row_of, span_hashes, text_slices, text_view, tidy, word_spans
 
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_marks", "n_distinct"]
 STATS_TYPE = ", ".join(f"{s}: bigint" for s in STATS)
 #: Small samples keep a cluster of bad documents from hiding itself.
 TREES, TREE_ROWS = 100, 64
-#: Bounds of the forest's sample and of the labelled sample, in documents.
+#: Bound of the sample that the trees draw from, in documents.
 FOREST_ROWS = 4 * TREES * TREE_ROWS
-LABELLED_ROWS = 20_000
 #: The threshold maximises the share of bad rows caught less GOOD_WEIGHT times the share of good rows lost, of which
 #: GOOD_LOST at most.
 GOOD_LOST = 0.02
@@ -197,8 +196,42 @@ def calibrate(score: np.ndarray, good: np.ndarray, good_lost: float = GOOD_LOST,
     return float(cuts[np.lexsort((-gap, -value.round(9)))[0]])
 
 
+def best_cut(scored: DataFrame, good_lost: float = GOOD_LOST, weight: float = GOOD_WEIGHT) -> float:
+    """calibrate() over a table of any size: score, y (1: good). Scores are dealt by ranges; the driver gets the sums of each range
+    and the best cut."""
+    good = (F.col("y") == 1).cast("long")
+    each = scored.groupBy("score").agg(F.sum(good).alias("ok"), F.sum(1 - good).alias("bad"))
+    each = durable(each.repartitionByRange(F.col("score")).withColumn("part", F.spark_partition_id()))
+    ends = each.groupBy("part").agg(F.sum("ok").alias("ok"), F.sum("bad").alias("bad"), F.min("score").alias("low")).orderBy("part").collect()  # a row a range
+    n_ok, n_bad = sum(e.ok for e in ends), sum(e.bad for e in ends)
+    if not n_ok or not n_bad:
+        return np.inf
+    rows, ok, bad = [], 0, 0
+    for e, after in zip(ends, [*ends[1:], None]):
+        rows.append((e.part, ok, bad, after.low if after else None))
+        ok, bad = ok + e.ok, bad + e.bad
+    before = scored.sparkSession.createDataFrame(rows, "part int, ok_before long, bad_before long, after double")
+    w = Window.partitionBy("part").orderBy("score")
+    cut = each.join(F.broadcast(before), "part").withColumn("next", F.coalesce(F.lead("score").over(w), "after")).withColumn("cut", (F.col("score") + F.col("next")) / 2)
+    below = lambda c: F.col(f"{c}_before") + F.sum(c).over(w) - F.when(F.col("cut") <= F.col("score"), F.col(c)).otherwise(0)
+    cut = cut.select("cut", (F.col("next") - F.col("score")).alias("gap"), (1 - below("ok") / n_ok).alias("lost"), (1 - below("bad") / n_bad).alias("caught")).where("cut is not null")
+    cut = cut.where(F.col("lost") <= good_lost).withColumn("value", F.round(F.col("caught") - weight * F.col("lost"), 9))
+    best = cut.orderBy(F.desc("value"), F.desc("gap"), "cut").first()
+    return best.cut if best and (best.value, best.gap) > (0.0, 0.0) else np.inf  # rejecting nothing has the value 0
+
+
+def _scores(shared):
+    def run(batches):
+        for b in batches:
+            x = features({s: np.asarray(b.column(s)) for s in STATS})
+            yield pa.RecordBatch.from_arrays([pa.array(shared.value.score(x)), b.column("y")], names=["score", "y"])
+            tidy()
+
+    return run
+
+
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", quality: str = "quality") -> Forest:
-    """Forest and threshold, from bounded hashed samples of documents. A labelled id counts once (its largest label, and
+    """Forest, of rows from a bounded hashed sample of documents, and threshold, from all labelled ones. A labelled id counts once (its largest label, and
     of several texts with that id the one with the smallest statistics)."""
     stats = lambda d: d.select("key", stats_column()(F.col("text")).alias("s")).select("key", "s.*").where(~base_failed(F.col))
     d = docs.select(F.col(doc_id).alias("key"), F.col(text).cast("string").alias("text"))
@@ -208,10 +241,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     sample = once(stats(d.join(F.broadcast(share), "key", "left_semi"))).toPandas().sort_values(STATS)
     forest = Forest.grow(features(sample) if len(sample) else np.zeros((1, 4)))
     y = labels.select(F.col(doc_id).alias("key"), F.col(quality).cast("int").alias("y")).where("key is not null and y in (0, 1)").groupBy("key").agg(F.max("y").alias("y"))
-    y = F.broadcast(bounded_sample(y, "key", LABELLED_ROWS, y.count(), "calibrate"))  # about LABELLED_ROWS ids
-    rows = once(stats(d.join(y, "key", "left_semi")).join(y, "key")).toPandas()
-    if len(rows):
-        forest.threshold = calibrate(forest.score(features(rows)), rows.y.to_numpy() == 1)
+    rows = once(stats(d).join(y, "key"))  # texts stay where they are, their statistics meet the labels
+    shared = docs.sparkSession.sparkContext.broadcast(forest)
+    forest.threshold = best_cut(rows.mapInArrow(_scores(shared), "score double, y int"))
     return forest
 
 
